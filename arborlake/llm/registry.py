@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import decontaminate, language, packing, permutation_index, quality, sharding, simhash, substring_dedup, token_files
+from arborlake.llm import decontaminate, language, packing, permutation_index, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_sharding": sharding.op5_sharding,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_packing": packing.op8_packing,
     "op9_permutation_index": permutation_index.op9_permutation_index,
     "op10_language": language.op10_language,
