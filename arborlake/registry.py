@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from arborlake.plans import heat
+from arborlake.plans.core import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+CATALOGS = [heat.catalog]
+QUERIES: dict[str, Query] = {name: query for c in CATALOGS for name, query in c.queries.items()}
+ORACLES: dict[str, str] = {name: sql for c in CATALOGS for name, sql in c.oracles.items()}
