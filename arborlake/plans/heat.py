@@ -251,9 +251,9 @@ def a11(spark, sf):
     return behaviour.file_facts(B.files(spark, sf)).select("fork_id", "median_lines", (F.col("median_lines") < 3).alias("formatter_only"))
 
 
-@catalog.add("m9_file_type_weight", f"WITH {FACTS_SQL} SELECT fork_id, round(type_weight, 4) AS type_weight, dirs FROM facts")
+@catalog.add("m9_file_type_weight", f"WITH {FACTS_SQL} SELECT fork_id, round(type_weight + 1e-9, 6) AS type_weight, dirs FROM facts")
 def m9(spark, sf):
-    return behaviour.file_facts(B.files(spark, sf)).select("fork_id", F.round("type_weight", 4).alias("type_weight"), "dirs")
+    return behaviour.file_facts(B.files(spark, sf)).select("fork_id", r6(F.col("type_weight") + 1e-9).alias("type_weight"), "dirs")
 
 
 H2_SQL = f"""{FACTS_SQL}, side AS (SELECT fork_id, count(*) FILTER (flag = 'R') AS ahead, count(*) FILTER (flag = 'A') AS behind FROM files GROUP BY fork_id),
