@@ -159,7 +159,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str |
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = 4_000_000) -> DataFrame:
     """For each row of ``docs``: word count, runs of hit words and the items hit."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
     parts = [rows.mapInArrow(_match(spark.sparkContext.broadcast(Block(items, window, k))), HITS_DDL) for items in _blocks(benchmark, block_words)]
     if not parts:
         return rows.mapInArrow(_match(spark.sparkContext.broadcast(Block([], window, k))), HITS_DDL)

@@ -218,9 +218,16 @@ def _pack_items(limits: Limits, window: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
+            over = []
             for key, length, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                packer.put(key, 0, length or 0, loss or 0)
-                held += 1
+                length, loss = length or 0, loss or 0
+                if length > limits.tokens or loss > limits.loss:
+                    over.append((key, length, loss, None, None, None))
+                else:
+                    packer.put(key, 0, length, loss)
+                    held += 1
+            if over:
+                yield block(over)
             if held >= window and (out := rows(last=False)):
                 held = 0
                 yield block(out)
@@ -233,7 +240,7 @@ def _pack_items(limits: Limits, window: int):
 def pack_items(items: DataFrame, limits: Limits, window_items: int = 1 << 17) -> DataFrame:
     """Pack whole examples ``items`` (item_id, tokens, loss_tokens), as for instruction data.
 
-    Null counts are zero; an example over a limit is an error, as it fits nowhere.
+    Null counts are zero; an example over a limit fits nowhere and has a null sequence.
     """
     return items.select("item_id", "tokens", "loss_tokens").mapInArrow(_pack_items(limits, window_items), "item_id long, tokens long, loss_tokens long, sequence_id long, segment int, offset long")
 
