@@ -217,11 +217,12 @@ def x14(spark, sf):
     return T(spark, sf, "documents").select("doc_id", F.sha2(body, 256).alias("h"))
 
 
-@catalog.add("x2_format_stars", "SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0::DOUBLE) WHEN n >= 10000 THEN printf('%.0fK', (n // 1000)::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', (n // 100) / 10.0::DOUBLE) ELSE n::VARCHAR END AS stars FROM (SELECT o_orderkey, (floor(o_totalprice) * CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 1 END)::BIGINT // 1000 * 1000 // CASE WHEN o_orderkey % 5 = 0 THEN 1000 ELSE 1 END // 100 * 100 AS n FROM orders)")
+@catalog.add("x2_format_stars", "SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0::DOUBLE) WHEN n >= 10000 THEN printf('%.0fK', (n // 1000)::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', (n // 100) / 10.0::DOUBLE) ELSE n::VARCHAR END AS stars FROM (SELECT o_orderkey, CASE WHEN n >= 1000000 THEN n // 100000 * 100000 ELSE n END AS n FROM (SELECT o_orderkey, (floor(o_totalprice) * CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 1 END)::BIGINT // 1000 * 1000 // CASE WHEN o_orderkey % 5 = 0 THEN 1000 ELSE 1 END // 100 * 100 AS n FROM orders))")
 def x2(spark, sf):
     n = F.floor("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 3 == 0, 10).otherwise(1)
     n = F.floor(n / 1000) * 1000
     n = F.floor(F.floor(n / F.when(F.col("o_orderkey") % 5 == 0, 1000).otherwise(1)) / 100) * 100
+    n = F.when(n >= 1_000_000, F.floor(n / 100_000) * 100_000).otherwise(n)
     return T(spark, sf, "orders").select("o_orderkey", text.format_stars(n).alias("stars"))
 
 
