@@ -108,6 +108,27 @@ def _anchor_rows(length: int, span: int):
     return run
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts before a shuffle, compressed one by one: (doc_id, row_key, text) to (doc_id, row_key, packed)."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches, "text"):
+        packed = pa.array(map(pack, utf8(batch.column(2))), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "row_key", "packed"])
+
+
+def _unzip(column: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(x.as_py()) for x in column)
+
+
+def zipped(keyed: DataFrame) -> DataFrame:
+    return keyed.select("doc_id", "row_key", "text").mapInArrow(_zip, "doc_id long, row_key long, packed binary")
+
+
 def _parts(sizes: list[int], most: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive texts of at most ``most`` bytes, or one longer text."""
     first = total = 0
@@ -121,7 +142,7 @@ def _parts(sizes: list[int], most: int = 12 << 20) -> Iterator[tuple[int, int]]:
 
 
 def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
-    """(row_key, text, picks) to front-coded sorted runs, and to hashed windows of hot cores."""
+    """(row_key, packed, picks) to front-coded sorted runs, and to hashed windows of hot cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -154,7 +175,7 @@ def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
 
         for batch in batches:
             picks = batch.column(2).to_pylist()
-            for row_key, text, mine in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), picks, strict=True):
+            for row_key, text, mine in zip(batch.column(0).to_pylist(), _unzip(batch.column(1)), picks, strict=True):
                 for x in mine:
                     p, lo, hi = x["p"], x["lo"], x["hi"]
                     if x["hot"]:
@@ -253,7 +274,7 @@ def joined(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = utf8(batch.column(1)), batch.column(2).to_pylist()
+        texts, spans = _unzip(batch.column(1)), batch.column(2).to_pylist()
         out: list[tuple] = []
         for text, mine in zip(texts, spans, strict=True):
             kept, gone, at, last = [], 0, 0, None
@@ -294,10 +315,10 @@ def repeated_spans(keyed: DataFrame, length: int = 400, span: int = 256, group:
     left.groupBy("row_key").agg(F.collect_list("pick").alias("picks")).write.parquet(picks_path)
     picks = spark.read.parquet(picks_path)
     buckets = 1 + (picks.agg(F.sum(F.size("picks"))).first()[0] or 0) // per_bucket * 16 + 63
-    texts = keyed.select("row_key", "text").join(picks, "row_key")
+    texts = zipped(keyed).select("row_key", "packed").join(picks, "row_key")
     runs = texts.mapInArrow(_runs(length, span, buckets), RUNS_DDL)
     partial = runs.groupBy("bucket").applyInArrow(_merge_runs(length, span), SPANS_DDL)
-    full = found.join(unions.filter("n > 1").select("core", "u1", "u2"), ["core", "u1", "u2"]).select("row_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    full = found.join(unions.filter("n > 1").select("u1", "u2").distinct(), ["u1", "u2"]).select("row_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     return full.unionByName(partial)
 
 
@@ -305,7 +326,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, **settings: int) -> DataFra
     """doc_id, n_bytes, n_removed, n_spans, removed (byte spans) and the kept bytes of each row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed, length, **settings).groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans")
+    rows = zipped(keyed).join(spans, "row_key", "left").select("doc_id", "packed", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
