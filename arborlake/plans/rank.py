@@ -34,9 +34,9 @@ def wins(spark, sf):
     return R.win_matrix(pool(spark, sf), NET)
 
 
-@catalog.add("n1_win_probability", f"WITH {POOL_SQL} SELECT segment, i::INT AS i, j::INT AS j, round(p, 6) AS p FROM wins WHERE i <= 12 AND j <= 12")
+@catalog.add("n1_win_probability", f"WITH {POOL_SQL} SELECT segment, i::INT AS i, j::INT AS j, round(p, 6) AS p FROM wins")
 def n1(spark, sf):
-    return wins(spark, sf).filter("i <= 12 and j <= 12").select("segment", "i", "j", r6(F.col("p")).alias("p"))
+    return wins(spark, sf).select("segment", "i", "j", r6(F.col("p")).alias("p"))
 
 
 @catalog.add("n2_expected_rank", f"WITH {ER_SQL} SELECT segment, i::INT AS idx, round(erank, 6) AS expected_rank, round(least(greatest((n - erank) / (n - 1), 0), 1), 6) AS p_score FROM er")

@@ -382,12 +382,12 @@ def d19(spark, sf):
     return B.threads(spark, sf).select("id", (F.element_at("comments", -1)["role"] == "assistant").alias("satisfied"))
 
 
-@catalog.add("w13_first_comment_order", "SELECT conv_id AS id, row_number() OVER (ORDER BY CASE WHEN conv_id % 9 = 0 THEN '9999-01-01' ELSE strftime(TIMESTAMP '2024-01-01' + to_days((conv_id % 50)::INT), '%Y-%m-%d') END, conv_id) AS place FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id < 200)")
+@catalog.add("w13_first_comment_order", "SELECT conv_id AS id, CASE WHEN conv_id % 9 = 0 THEN '9999-12-31' ELSE strftime(TIMESTAMP '2024-01-01' + to_days((conv_id % 50)::INT), '%Y-%m-%d') END AS first_at FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY first_at, id")
 def w13(spark, sf):
+    """Threads by the time of their first comment; those without one come last."""
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")), "yyyy-MM-dd")
-    ids = T(spark, sf, "conversations").filter("conv_id < 200").select(F.col("conv_id").alias("id")).distinct()
-    w = Window.orderBy(F.coalesce(F.when(F.col("id") % 9 != 0, day), F.lit("9999-01-01")), "id")  # one page of threads
-    return ids.select("id", F.row_number().over(w).cast("long").alias("place"))
+    ids = T(spark, sf, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    return ids.select("id", F.coalesce(F.when(F.col("id") % 9 != 0, day), F.lit("9999-12-31")).alias("first_at")).orderBy("first_at", "id")
 
 
 @catalog.add("f23_strip_verbose", "SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
@@ -578,10 +578,10 @@ def d10(spark, sf):
     return B.forks(spark, sf).select("fork_id", linear.cast("boolean").alias("linear"))
 
 
-@catalog.add("d14_cluster_peers", "SELECT vec_id, peer, nth FROM (SELECT a.vec_id, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) AS nth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 40) WHERE nth <= 5")
+@catalog.add("d14_cluster_peers", "SELECT vec_id, peer, nth FROM (SELECT a.vec_id, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) AS nth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE nth <= 5")
 def d14(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id", "label")
-    peers = e.filter("vec_id < 40").join(e.select(F.col("vec_id").alias("peer"), "label"), "label").filter("vec_id <> peer")
+    peers = e.join(e.select(F.col("vec_id").alias("peer"), "label"), "label").filter("vec_id <> peer")
     w = Window.partitionBy("vec_id").orderBy(F.desc("peer"))
     return peers.withColumn("nth", F.row_number().over(w).cast("long")).filter("nth <= 5").select("vec_id", "peer", "nth")
 
