@@ -142,7 +142,7 @@ def a18(spark, sf):
     return E.ndcg(B.judged(spark, sf), ["cluster"], "score", "positive", "id").select("cluster", r6(F.col("ndcg")).alias("ndcg"))
 
 
-@catalog.add("a19_roc_auc", f"WITH {J} SELECT p.cluster, round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 6) AS auc FROM judged p JOIN judged n ON p.cluster = n.cluster AND p.positive AND NOT n.positive GROUP BY p.cluster")
+@catalog.add("a19_roc_auc", f"WITH {J} SELECT c.cluster, round(coalesce(avg(CASE WHEN p.id IS NULL OR n.id IS NULL THEN NULL WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 0), 6) AS auc FROM (SELECT DISTINCT cluster FROM judged) c LEFT JOIN judged p ON p.cluster = c.cluster AND p.positive LEFT JOIN judged n ON n.cluster = c.cluster AND NOT n.positive GROUP BY c.cluster")
 def a19(spark, sf):
     return E.roc_auc(B.judged(spark, sf), ["cluster"], "score", "positive").select("cluster", r6(F.col("auc")).alias("auc"))
 

@@ -27,7 +27,7 @@ def plain(value):
         return str(value)
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         return f"{float(value):.4f}".replace("-0.0000", "0.0000")
-    return value.isoformat(" ") if hasattr(value, "isoformat") else str(value)
+    return str(value)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
