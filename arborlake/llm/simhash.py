@@ -20,6 +20,8 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +48,24 @@ def _steps(cell: Column) -> Column:
     return F.array_compact(F.array(cell, *up))
 
 
-def near_pairs(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints ``fp`` that differ in at most ``bits`` <= 3 bits."""
+def near_pairs(prints: DataFrame, bits: int = 3, node: str = "fp", band: str | None = None) -> DataFrame:
+    """Pairs (a, b) of ``node`` whose fingerprints ``fp`` differ in at most ``bits`` <= 3 bits.
+
+    Fingerprints are compared within a ``band``, if there is one; ``node`` tells
+    the rows of a band apart.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("a half at Manhattan distance 1 is certain for 3 bits at most")
+    bands = [band] if band else []
     cells = [F.struct(F.lit(i).alias("half"), c.alias("cell")) for i, c in enumerate(halves(F.col("fp")))]
-    at = prints.select("fp", F.explode(F.array(*cells)).alias("at")).select("fp", "at.half", "at.cell")
-    grid = at.select(F.col("fp").alias("b"), F.col("half").alias("in_half"), F.col("cell").alias("in_cell"))
-    looks = at.select(F.col("fp").alias("a"), "half", F.col("cell").alias("own"), F.explode(_steps(F.col("cell"))).alias("cell"))
+    at = prints.select(F.col(node).alias("node"), F.col("fp").alias("print"), *bands, F.explode(F.array(*cells)).alias("at"))
+    at = at.select("node", "print", *bands, "at.half", "at.cell")
+    grid = at.select(F.col("node").alias("b"), F.col("print").alias("fp_b"), *(F.col(c).alias("in_band") for c in bands), F.col("half").alias("in_half"), F.col("cell").alias("in_cell"))
+    looks = at.select(F.col("node").alias("a"), F.col("print").alias("fp_a"), *bands, "half", F.col("cell").alias("own"), F.explode(_steps(F.col("cell"))).alias("cell"))
     same = (F.col("half") == F.col("in_half")) & (F.col("cell") == F.col("in_cell"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & ((F.col("own") != F.col("cell")) | (F.col("a") < F.col("b")))
+    if band:
+        same = same & (F.col(band) == F.col("in_band"))
+    near = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits) & ((F.col("own") != F.col("cell")) | (F.col("a") < F.col("b")))
     return looks.join(grid, same & near).select("a", "b")
 
 
@@ -71,6 +81,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, component_id by a similarity bound, with several fingerprints.
+
+    One fingerprint at 3 bits misses most near copies at a similarity of 0.8 or
+    0.9.  Here a pair is a candidate when any of ``bands`` fingerprints is 3 bits
+    apart at most, and is linked when the bits that differ in all of them are
+    those of the similarity: the share of differing bits is the angle over pi,
+    and two sets of similarity s have a cosine of 2 s / (1 + s).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.mapInArrow(fingerprints(words, seed, bands), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp"))
+    rows = materialize(rows)
+    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fps")))
+    single = prints.select("node", F.posexplode("fps").alias("band", "fp"))
+    pairs = near_pairs(single, 3, "node", "band").distinct()
+    side = lambda c: prints.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = int(64 * bands * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    parts = connected_components(pairs.filter(apart <= most).select("a", "b"), "a", "b", materialize)
+    of = prints.join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

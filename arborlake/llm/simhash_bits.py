@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from arborlake.llm.common import slices, utf8
+from arborlake.llm.words import MIX, mix
 
 #: byte -> eight bits in 16-bit lanes: lanes 0-3 of the first row, 4-7 of the second
 _LANES = np.array([[sum((b >> (4 * half + i) & 1) << 16 * i for i in range(4)) for b in range(256)] for half in range(2)], dtype=np.uint64)
@@ -51,8 +52,12 @@ def shingles(text: bytes, k: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
-def fingerprints(k: int, seed: int = 42):
-    """A ``mapInArrow`` function: (doc_id, text) to (doc_id, fingerprint as signed long)."""
+def fingerprints(k: int, seed: int = 42, bands: int = 1):
+    """A ``mapInArrow`` function: (doc_id, text) to (doc_id, fingerprint as signed long).
+
+    With several ``bands`` the second column is an array: the fingerprint, and
+    those of the same hashes after different mixings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -65,7 +70,13 @@ def fingerprints(k: int, seed: int = 42):
                 lengths.append(len(units))
                 made.append(b"".join(map(digest, units, repeat(seed))))
             hashes = np.frombuffer(b"".join(made), ">u8").astype("<u8")
-            bits = fingerprint_bits(hashes, np.array(lengths, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            counts = np.array(lengths, dtype=np.int64)
+            bits = [fingerprint_bits(hashes if not b else mix(hashes + np.uint64(b) * MIX), counts) for b in range(bands)]
+            if bands == 1:
+                column = pa.array(bits[0].view(np.int64))
+            else:
+                flat = pa.array(np.stack(bits, axis=1).ravel().view(np.int64))
+                column = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(counts) + 1, bands), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fp"])
 
     return run

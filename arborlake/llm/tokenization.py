@@ -51,7 +51,7 @@ class _Pieces(dict):
 
 
 class TextEncoder:
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -1,12 +1,60 @@
 """The pipeline against the same stages written plainly."""
 
+import math
+import random
+import zlib
+
 import corpus_pipeline
 import numpy as np
-import zlib
+import xxhash
 
 import public_tokenizers
 from arborlake.llm import common
-from test_llm import SF, components, slow_contamination, slow_fingerprint
+from arborlake.llm.simhash import similar_documents
+from test_llm import SF, slow_contamination
+
+
+def mixed(h, band):
+    if not band:
+        return h
+    m = (1 << 64) - 1
+    h = (h + band * 0x9E3779B97F4A7C15) & m
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def linked(texts, words=5, bands=4):
+    prints = []
+    for text in texts:
+        w = text.encode().lower().split()
+        units = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+        hashes = [xxhash.xxh64_intdigest(u, 42) for u in units]
+        each = [[mixed(h, b) for h in hashes] for b in range(bands)]
+        prints.append([sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in band) > len(band)) for band in each])
+    most = int(64 * bands * math.acos(1.6 / 1.8) / math.pi)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            d = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+            if min(d) <= 3 and sum(d) <= most and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    rows = []
+    for i in range(80):
+        text = [word() for _ in range(400)]
+        rows.append((2 * i, " ".join(text)))
+        text[rng.randrange(400)] = "changed"
+        rows.append((2 * i + 1, " ".join(text) if i < 40 else " ".join(word() for _ in range(400))))
+    got = dict(map(tuple, similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert all(got[2 * i] == 2 * i for i in range(80)) and all(got[2 * i + 1] == 2 * i + 1 for i in range(40, 80))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 34
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -24,8 +72,8 @@ def test_stages_and_run(spark, tmp_path):
             assert kept == {i: t for i, t in rows.items() if any(c.isalpha() for c in t)}
         if k == 1:
             ids = sorted(rows)
-            root = components([slow_fingerprint(rows[i]) for i in ids])
-            assert kept == {i: rows[i] for n, i in enumerate(ids) if root[n] == n}
+            root = linked([rows[i] for i in ids])
+            assert kept == {i: rows[i] for n, i in enumerate(ids) if root[n] == n} and len(kept) < len(rows)
         if k == 3:
             assert kept == {i: t for i, t in rows.items() if not slow_contamination(t, items)[-1]}
         rows = kept
