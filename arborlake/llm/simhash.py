@@ -20,13 +20,12 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.graph.components import connected_components
 from arborlake.llm.common import materialize, table
+from arborlake.llm.minhash import SKETCH_DDL, shingle_hashes, sketches, spanning_links
 from arborlake.llm.simhash_bits import fingerprints
 
 SEGMENTS_PER_HALF = 16
@@ -81,29 +80,54 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, component_id by a similarity bound, with several fingerprints.
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, order: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, row_key, component of each row of ``docs``, linked by exact similarity.
+
+    SimHash at 3 bits finds few pairs of similarity 0.8 or 0.9, so candidates
+    come from MinHash: a pair that shares one of ``bands`` keys, which misses
+    0.035 % of pairs at 0.8.  Texts with equal sets of ``words``-word shingles are
+    folded; a candidate is linked when the Jaccard similarity of its sets,
+    counted in full on 64-bit hashes, is ``similarity`` or more.
 
-    One fingerprint at 3 bits misses most near copies at a similarity of 0.8 or
-    0.9.  Here a pair is a candidate when any of ``bands`` fingerprints is 3 bits
-    apart at most, and is linked when the bits that differ in all of them are
-    those of the similarity: the share of differing bits is the angle over pi,
-    and two sets of similarity s have a cosine of 2 s / (1 + s).
+    In a bucket (the texts of a key) each text is compared with the first and the
+    last.  Buckets that this leaves in several components are joined to groups by
+    the texts they share, and all pairs of such a group are compared in one task.
+    ``row_key`` hashes doc_id and text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(fingerprints(words, seed, bands), "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp"))
-    rows = materialize(rows)
-    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fps")))
-    single = prints.select("node", F.posexplode("fps").alias("band", "fp"))
-    pairs = near_pairs(single, 3, "node", "band").distinct()
-    side = lambda c: prints.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    most = int(64 * bands * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    parts = connected_components(pairs.filter(apart <= most).select("a", "b"), "a", "b", materialize)
-    of = prints.join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
+    rows = materialize(keyed.mapInArrow(sketches(words, bands, order, seed), SKETCH_DDL))
+    nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
+    single = materialize(nodes.select("node", "row_key", F.explode("keys").alias("key")))
+    ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    members = materialize(single.join(ends, "key"))
+    wanted = members.select("row_key", "node").distinct()
+    texts = keyed.join(wanted, "row_key").dropDuplicates(["node"]).select("node", "text")
+    sets = materialize(texts.mapInArrow(shingle_hashes(words, seed), "node long, hashes array<long>"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+        sizes = F.size("of_a"), F.size("of_b")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        alike = (F.least(*sizes) >= similarity * F.greatest(*sizes)) & (both >= similarity * (sizes[0] + sizes[1] - both))
+        return materialize(pairs.distinct().join(side("b"), "b").join(side("a"), "a").filter(alike).select("a", "b"))
+
+    ordered = [F.least("node", end).alias("a") for end in ("low", "high")], [F.greatest("node", end).alias("b") for end in ("low", "high")]
+    to_low, to_high = (members.select(a, b).filter("a < b") for a, b in zip(*ordered, strict=True))
+    links = linked(to_low.union(to_high))
+    parts = connected_components(links, "a", "b", materialize)
+    within = members.join(parts, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
+    split = within.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+    across = connected_components(within.join(split, "key").select("node", "low"), "node", "low", materialize)
+    more = across.join(sets, "node").select("component", "node", "hashes").groupBy("component").applyInArrow(spanning_links(similarity), "a long, b long")
+    parts = connected_components(links.union(more), "a", "b", materialize).withColumnRenamed("node", "member")
+    return rows.join(parts, F.col("node") == F.col("member"), "left").select("doc_id", "row_key", F.coalesce("component", "node").alias("component"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of each row: the smallest id of those linked by ``similar_rows``."""
+    rows = materialize(similar_rows(docs, words, similarity))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
