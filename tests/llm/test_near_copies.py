@@ -1,7 +1,8 @@
-"""Near copies against exact Jaccard similarity."""
+"""Near copies against exact Jaccard similarity, and rows that share an id."""
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from arborlake.llm import common
@@ -59,3 +60,13 @@ def test_near_copies_of_the_smallest_tables(spark):
     docs = common.table(spark, SF, "documents").select("doc_id", "text")
     got = dict(map(tuple, similar_documents(docs).collect()))
     assert got == least_linked(dict(map(tuple, docs.collect())))
+
+
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    rng = random.Random(7)
+    own = [" ".join(words(rng, 60)) for _ in range(8)]
+    copy = own[1] + " more"
+    rows = [(7, own[0]), (7, own[1]), (7, own[2]), (None, own[3]), (None, own[4]), (None, own[4]), (3, copy), (9, own[5]), (9, own[5]), (12, own[0] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(7, own[0]), (7, own[2]), (3, copy), (None, own[3]), (None, own[4]), (9, own[5])], key=str)
