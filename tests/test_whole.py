@@ -14,3 +14,10 @@ def test_win_pairs_take_every_supplier(spark):
     want = dict(c.execute(f"SELECT k, won FROM ({registry.ORACLES['j13_win_pairs']})").fetchall())
     got = {r["k"]: r["won"] for r in registry.QUERIES["j13_win_pairs"](spark, BIG).collect()}
     assert len(want) == 1000 and got == pytest.approx(want, abs=2e-5)
+
+
+@pytest.mark.parametrize("name", ["g2_pagerank", "g3_entry_point_teleport"])
+def test_every_supplier_is_a_node(spark, name):
+    nodes = {r["node"] for r in registry.QUERIES[name](spark, MID).collect()}
+    keys = duckdb.sql(f"SELECT DISTINCT l_suppkey FROM '{MID}/lineitem.parquet'").fetchall()
+    assert len(keys) == 100 and {f"s{k}" for (k,) in keys} <= nodes
