@@ -82,11 +82,12 @@ def rank_distribution(mu: np.ndarray, sd: np.ndarray, panels: int = 48) -> np.nd
         x = mu[i] + sd[i] * z
         dist = np.zeros((len(z), n))
         dist[:, 0] = 1
-        for j in range(n):
-            if j != i:
-                better = phi((mu[j] - x) / sd[j])[:, None]
-                dist[:, 1:] = dist[:, 1:] * (1 - better) + dist[:, :-1] * better
-                dist[:, :1] *= 1 - better
+        for m, j in enumerate(j for j in range(n) if j != i):  # ranks beyond m + 1 are still empty
+            better = phi((mu[j] - x) / sd[j])[:, None]
+            now = dist[:, : m + 2]
+            moved = now[:, :-1] * better
+            now *= 1 - better
+            now[:, 1:] += moved
         out[i] = w @ dist
     return out / out.sum(axis=1, keepdims=True)
 

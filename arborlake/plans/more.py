@@ -172,7 +172,7 @@ def n3(spark, sf):
 
 @catalog.add("n5_top_k_probability")
 def n5(spark, sf):
-    rows = rank.pool(spark, sf).filter("idx <= 20")
+    rows = rank.pool(spark, sf, ranking.POOL_CAP)
     return ranking.rank_report(rows, heat.NET, k=5).select("segment", "idx", "p_top_k", "p_first", "low", "high")
 
 

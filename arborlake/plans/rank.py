@@ -16,10 +16,10 @@ catalog = Catalog()
 CAP = 40
 
 
-def pool(spark: SparkSession, sf: str) -> DataFrame:
+def pool(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
     """The best forks of each network with mu and sd; the tier is bound to the id."""
     df = trusted(spark, sf).withColumn("heat", r6(F.col("score")))
-    df = R.pool(df, NET, cap=CAP)
+    df = R.pool(df, NET, cap=cap)
     return df.select("segment", "fork_id", "idx", F.col("heat").alias("mu"), N.sigma(N.tier_confidence(F.col("fork_id") % 3 + 1)).alias("sd"))
 
 
@@ -56,7 +56,7 @@ def n6r(spark, sf):
 
 @catalog.add("n4_rank_distribution")
 def n4(spark, sf):
-    return R.rank_report(R.pool(trusted(spark, sf).withColumn("heat", r6(F.col("score"))), NET, cap=25).select("segment", "idx", F.col("heat").alias("mu"), N.sigma(N.tier_confidence(F.col("fork_id") % 3 + 1)).alias("sd")), NET)
+    return R.rank_report(pool(spark, sf, R.POOL_CAP).select("segment", "idx", "mu", "sd"), NET)
 
 
 @catalog.add("w4_tie_bands", f"WITH {POOL_SQL} SELECT segment, idx::INT AS idx, coalesce(abs(mu - lag(mu) OVER w) < 0.4 * sqrt(sd * sd + pow(lag(sd) OVER w, 2)), false) OR coalesce(abs(mu - lead(mu) OVER w) < 0.4 * sqrt(sd * sd + pow(lead(sd) OVER w, 2)), false) AS tied FROM pool WINDOW w AS (PARTITION BY segment ORDER BY idx)")

@@ -21,3 +21,10 @@ def test_every_supplier_is_a_node(spark, name):
     nodes = {r["node"] for r in registry.QUERIES[name](spark, MID).collect()}
     keys = duckdb.sql(f"SELECT DISTINCT l_suppkey FROM '{MID}/lineitem.parquet'").fetchall()
     assert len(keys) == 100 and {f"s{k}" for (k,) in keys} <= nodes
+
+
+@pytest.mark.parametrize("name", ["n4_rank_distribution", "n5_top_k_probability"])
+def test_rank_reports_hold_the_whole_pool(spark, name):
+    rows = registry.QUERIES[name](spark, MID).groupBy("segment").count().collect()
+    sizes = duckdb.sql(f"SELECT c_mktsegment, least(count(*), 200) FROM '{MID}/customer.parquet' GROUP BY ALL").fetchall()
+    assert sorted(r["count"] for r in rows) == sorted(n for _, n in sizes)
