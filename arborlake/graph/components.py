@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.skew import join_counted
 
-def _largest(df: DataFrame) -> DataFrame:
+
+def _largest(df: DataFrame, rows: int) -> DataFrame:
     """Link every larger neighbour of u to the smallest of u and its neighbours."""
     both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.filter("v > u"), low, ["u"], 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _smallest(df: DataFrame) -> DataFrame:
+def _smallest(df: DataFrame, rows: int) -> DataFrame:
     """Link u and its smaller neighbours to the smallest of them."""
-    low = df.groupBy("u").agg(F.min("v").alias("m"))
-    moved = df.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(df, low, ["u"], rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,7 +28,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, cut: Callable[[Da
     """(node, component) for every node of an edge; component is the smallest node.
 
     The number of rounds grows with the logarithm of the longest path.  ``cut``
-    ends the lineage of a round; only a count and a sum go to the driver.
+    ends the lineage of a step; only a count and a sum go to the driver.  A node
+    with many neighbours is met by broadcast, as there are few of them.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     pairs, seen = cut(pairs), None
@@ -34,7 +37,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, cut: Callable[[Da
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
-        pairs, seen = cut(_smallest(_largest(pairs))), state
+        larger = cut(_largest(pairs, state[0]))
+        pairs, seen = cut(_smallest(larger, state[0])), state
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

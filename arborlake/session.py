@@ -1,4 +1,4 @@
-"""Sessions, and the place where lineage is cut."""
+"""Sessions, and the shared folder in which lineage is cut."""
 
 from __future__ import annotations
 
@@ -16,9 +16,24 @@ def local_session(cpus: str = "*", memory: str = "8g", shuffle: int = 8) -> Spar
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a session of one machine, as in tests, gets a temporary
+    folder; on a cluster that would be local to the driver, so it is an error.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="arborlake-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborlake-"))
+        sc.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

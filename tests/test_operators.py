@@ -8,6 +8,7 @@ from arborlake.graph.clustering import cluster
 from arborlake.graph.components import connected_components
 from arborlake.graph.pagerank import pagerank
 from arborlake.operators import branches, decisions, ranking, scoring, store
+from arborlake.operators.skew import join_counted
 from arborlake.session import checkpointed
 from arborlake.sources import diffs
 
@@ -76,15 +77,52 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", checkpointed).count() == 0
 
 
+def slow_pagerank(nodes, edges, teleport, rounds):
+    out = {n: [d for s, d in edges if s == n and d in nodes] for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        loose = sum(rank[n] for n in nodes if not out[n]) / len(nodes)
+        rank = {n: 0.15 * teleport[n] + 0.85 * (loose + sum(rank[m] / len(out[m]) for m in nodes if n in out[m])) for n in nodes}
+    return rank
+
+
 @pytest.mark.parametrize("small", [0, 1000])
-def test_pagerank(spark, small):
+@pytest.mark.parametrize("entry", [0.0, 1.0])
+def test_pagerank(spark, small, entry):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "elsewhere")] + [("hub", f"n{i}") for i in range(30)] + [("a", "hub")]
+    nodes = ["a", "b", "c", "d", "hub", *(f"n{i}" for i in range(30))]
+    df = spark.createDataFrame([(n, entry if n in "ab" else 0.0) for n in nodes], "node string, weight double")
+    got = dict(map(tuple, pagerank(df, spark.createDataFrame(edges, "src string, dst string"), checkpointed, rounds=8, small=small).collect()))
+    want = slow_pagerank(nodes, edges, {n: 1 / len(nodes) if not entry else 0.5 * (n in "ab") for n in nodes}, 8)
+    assert sum(got.values()) == pytest.approx(1) and got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], abs=1e-9) for n in nodes)
+
+
+def test_pagerank_plans_do_not_grow(spark):
+    sizes = []
+
+    def cut(df):
+        sizes.append(len(df._jdf.queryExecution().analyzed().toString()))
+        return checkpointed(df)
+
     nodes = spark.createDataFrame([(c, 0.0) for c in "abcd"], "node string, weight double")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "src string, dst string")
-    got = dict(map(tuple, pagerank(nodes, edges, checkpointed, rounds=12, small=small).collect()))
-    rank = {c: 0.25 for c in "abcd"}
-    for _ in range(12):
-        rank = {c: 0.0375 + 0.85 * rank["d"] / 4 + 0.85 * {"a": rank["c"], "b": rank["a"] / 2, "c": rank["b"], "d": rank["a"] / 2}[c] for c in "abcd"}
-    assert sum(got.values()) == pytest.approx(1) and all(got[c] == pytest.approx(rank[c], abs=1e-9) for c in "abcd")
+    pagerank(nodes, edges, cut, rounds=5, small=0)
+    assert len(sizes) == 7 and max(sizes[2:]) < 1.2 * min(sizes[2:])
+
+
+def test_components_of_a_hub_and_a_path(spark):
+    links = [(i, 0) for i in range(1, 600)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = dict(map(tuple, connected_components(df, "a", "b", checkpointed).collect()))
+    assert got == {i: 0 for i in range(600)} | {1000 + i: 1000 for i in range(41)} | {2000: 2000, 2001: 2000}
+
+
+def test_join_counted_splits_hot_keys(spark):
+    left = spark.createDataFrame([(1 if i < 700 else i, i) for i in range(1000)] + [(None, -1)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).filter("k is null or k <> 999")
+    got = join_counted(left, right, ["k"], 1001).select("k", "v", "top").collect()
+    top = {1: 699} | {i: i for i in range(700, 999)}
+    assert sorted(map(tuple, got)) == sorted((1 if i < 700 else i, i, top[1 if i < 700 else i]) for i in range(999))
 
 
 def test_clusters_and_noise(spark):
