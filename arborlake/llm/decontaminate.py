@@ -9,10 +9,11 @@ extended to all windows that contain it, and a window counts when its words
 occur in an item.  Items of fewer words than a window are windows of their own
 and use k equal to their length, where winnowing keeps every k-gram.
 
-The benchmark is dealt into blocks by the hash of the item id; each block is of
-checked size (``block_words``) and sent to the tasks, and the documents are
-read once for each block.  Benchmarks of one block, the usual case, take one
-pass and no shuffle.  With more blocks the hit word runs of a document are
+The benchmark is dealt into blocks by the hash of the item; a block holds up to
+``block_bytes`` of texts (a longer item is a block with what shares its hash),
+which is checked, and about 15 times that in the tables that are sent to the
+tasks.  The documents are read once for each block.  Benchmarks of one block,
+the usual case, take one pass and no shuffle.  With more blocks the hit word runs of a document are
 merged over blocks by its row key.
 
 Nulls: null texts have no words; a null ``item_id`` is left out of the item
@@ -53,14 +54,22 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 class Block:
-    """Windows of some items, by length, with the fingerprints that lead to them."""
+    """Windows of some items, by length, with the fingerprints that lead to them.
+
+    The words of all items lie one after the other in ``words``; a window is a
+    place there.  For each length, ``keys`` are the sorted hashes of all
+    windows, ``at`` and ``item`` their places and items.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int, k: int):
         self.window, self.k = window, k
+        self.names = [item_id for item_id, _ in items]
         hashes = WordHashes()
-        prints: dict[int, set[int]] = {}
-        windows: dict[int, dict[int, list[tuple[tuple[bytes, ...], list[str]]]]] = {}
-        for item_id, text in items:
+        parts: list[bytes] = []
+        starts: list[np.ndarray] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]] = {}
+        base = first = 0
+        for i, (_, text) in enumerate(items):
             words = alnum_words(text.encode())
             n = min(window, len(words))
             if not n:
@@ -68,25 +77,34 @@ class Block:
             h = np.array([hashes[w] for w in words], dtype=np.uint64)
             gram, wide = self.shape(n)
             grams = gram_hashes(h, gram)
-            prints.setdefault(n, set()).update(grams[winnow(grams, wide)].tolist())
-            at = windows.setdefault(n, {})
-            for i, value in enumerate(gram_hashes(h, n).tolist()):
-                run = tuple(words[i : i + n])
-                known = at.setdefault(value, [])
-                ids = next((ids for other, ids in known if other == run), None)
-                if ids is None:
-                    known.append((run, ids := []))
-                if item_id is not None and item_id not in ids[-1:]:
-                    ids.append(item_id)
-        self.prints = {n: np.array(sorted(x), dtype=np.uint64) for n, x in prints.items()}
-        self.windows = windows
-        self.keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in windows.items()}
+            keys = gram_hashes(h, n)
+            found.setdefault(n, []).append((keys, first + np.arange(len(keys)), i, grams[winnow(grams, wide)]))
+            lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+            starts.append(base + np.cumsum(lengths) - lengths)
+            parts.append(b" ".join(words))
+            base, first = base + int(lengths.sum()), first + len(words)
+        self.words = b" ".join(parts) + b" "
+        self.starts = np.concatenate([*starts, [base]]).astype(np.int64)
+        self.prints, self.keys, self.at, self.item = {}, {}, {}, {}
+        for n, rows in found.items():
+            keys = np.concatenate([r[0] for r in rows])
+            order = np.argsort(keys, kind="stable")
+            self.keys[n] = keys[order]
+            self.at[n] = np.concatenate([r[1] for r in rows])[order]
+            self.item[n] = np.repeat(np.array([r[2] for r in rows], dtype=np.int32), [len(r[0]) for r in rows])[order]
+            self.prints[n] = np.unique(np.concatenate([r[3] for r in rows]))
 
     def shape(self, n: int) -> tuple[int, int]:
         """k and the winnowing width for windows of n words."""
         k = self.k if n == self.window else n
         return k, n - k + 1
 
+    def window_items(self, n: int, key: np.uint64, run: bytes) -> np.ndarray:
+        """Items (by number, repeats included) that hold the words ``run``, whose hash is ``key``."""
+        a, b = np.searchsorted(self.keys[n], key), np.searchsorted(self.keys[n], key, side="right")
+        same = [self.words[self.starts[p] : self.starts[p + n] - 1] == run for p in self.at[n][a:b].tolist()]
+        return self.item[n][a:b][same]
+
     def match(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Runs of hit words (first, last) and the items whose windows occur."""
         covered, items = [], set()
@@ -104,13 +122,16 @@ class Block:
             first, last = int(starts[0]), int(starts[-1])
             values = gram_hashes(h[first : last + n], n)[starts - first]
             ok = _among(values, self.keys[n])
-            for i, value in zip(starts[ok].tolist(), values[ok].tolist(), strict=True):
-                run = tuple(words[i : i + n])
-                for other, ids in self.windows[n][value]:
-                    if other == run:
-                        covered.append((i, i + n - 1))
-                        items.update(ids)
-        return merge_runs(covered), items
+            known: dict[tuple[int, bytes], bool] = {}
+            for i, value in zip(starts[ok].tolist(), values[ok], strict=True):
+                window = int(value), b" ".join(words[i : i + n])
+                if window not in known:
+                    mine = np.unique(self.window_items(n, value, window[1]))
+                    known[window] = len(mine) > 0
+                    items.update(mine.tolist())
+                if known[window]:
+                    covered.append((i, i + n - 1))
+        return merge_runs(covered), {self.names[i] for i in items} - {None}
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -146,29 +167,47 @@ def _match(block):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks of about ``block_words`` words, each read from the table by its number."""
-    spaces = F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1
-    size = benchmark.agg(F.coalesce(F.sum(spaces), F.lit(0)).alias("n")).first()["n"]
-    n = -(-size // block_words)
+def _keep_clean(block):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, items = WordHashes(), block.value
+        for batch in slices(batches, "text"):
+            clean = []
+            for text in utf8(batch.column(batch.schema.get_field_index("text"))):
+                words = alnum_words(text)
+                clean.append(not items.match(words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))[0])
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of at most ``block_bytes`` of text, or of one hash; each is read from the table by its number."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    hashed = F.xxhash64("item_id", "text")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-total // block_bytes))
+    longest = items.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    while n > 1:  # uneven hashes: more blocks, until the largest is small enough
+        largest = items.groupBy(F.pmod(hashed, F.lit(n)).alias("b")).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= max(2 * block_bytes, longest + block_bytes):
+            break
+        n *= 2
     for i in range(n):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else benchmark
-        yield [(None if r[0] is None else str(r[0]), r[1]) for r in part.filter("text is not null").select("item_id", "text").collect()]
+        part = items.filter(F.pmod(hashed, F.lit(n)) == i) if n > 1 else items
+        yield [(r[0], r[1]) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = 4_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """For each row of ``docs``: word count, runs of hit words and the items hit."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
-    parts = [rows.mapInArrow(_match(spark.sparkContext.broadcast(Block(items, window, k))), HITS_DDL) for items in _blocks(benchmark, block_words)]
-    if not parts:
-        return rows.mapInArrow(_match(spark.sparkContext.broadcast(Block([], window, k))), HITS_DDL)
+    parts = [rows.mapInArrow(_match(sc.broadcast(Block(items, window, k))), HITS_DDL) for items in _blocks(benchmark, block_bytes)]
     if len(parts) == 1:
         return parts[0]
     every = parts[0].withColumn("copies", F.lit(1))
     for part in parts[1:]:
         every = every.unionByName(part.withColumn("copies", F.lit(0)))
-    merged = every.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("copies").alias("copies"))
+    merged = every.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("hit_runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.sum("copies").alias("copies"))
     # runs in order of their starts; a run joins the last one when it begins in it or right after it
     joined = F.aggregate(
         "runs",
@@ -185,6 +224,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return each.select("doc_id", "row_key", "n_words", "hit_runs", "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no window of ``benchmark``, with their own columns; nothing is shuffled."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    for items in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_keep_clean(docs.sparkSession.sparkContext.broadcast(Block(items, window, k))), schema)
+    return docs
+
+
 def contamination_report(hits: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return hits.select(

@@ -8,13 +8,13 @@ the language lacks it.  The language with the smallest sum wins (ties: the first
 name); ``score`` is one less the sum's share of the largest possible sum.
 
 Profiles count the n-grams of all training rows: each task adds up its own
-counts by language and n-gram, Spark sums them, and only ``size`` entries for
+counts by language and n-gram in a table of bounded size, Spark sums them, and only ``size`` entries for
 each language reach the driver.  Learned languages are limited to ``languages``
 distinct names, which bounds what is sent to the tasks; more is an error.
 
 Nulls: a text that is null or has no letter gets ``und`` and score 0; rows whose
 ``lang`` is null, or whose text has no letter, teach nothing.  With nothing to
-learn from, every row is ``und``.  Null ``doc_id`` counts as the empty string in
+learn from, a text with letters has a null language and score 0.  Null ``doc_id`` counts as the empty string in
 the split.  Repeated rows are scored each; extra columns are dropped.
 """
 
@@ -80,23 +80,38 @@ def gram_counts(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return group, code, n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict[str, int] = {}
-    totals: dict[tuple[int, int], int] = {}
-    for batch in slices(batches, "text", limit=1 << 20):
-        langs = batch.column(1).to_pylist()
-        owner = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int64)
-        for group, code, n in zip(*(x.tolist() for x in gram_counts(batch.column(0).to_pylist(), owner)), strict=True):
-            totals[group, code] = totals.get((group, code), 0) + n
-    back = list(names)
-    if totals:
-        yield pa.RecordBatch.from_arrays([pa.array([back[g] for g, _ in totals]), pa.array([c for _, c in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())], schema=GRAMS)
+def _count(most: int = 1 << 18):
+    """Counts of a task by language and n-gram, put out whenever there are more than ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        totals: dict[tuple[int, int], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            back = list(names)
+            columns = [back[g] for g, _ in totals], [c for _, c in totals], list(totals.values())
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, GRAMS, strict=True)], schema=GRAMS)
+            totals.clear()
+            names.clear()
+            return out
+
+        for batch in slices(batches, "text", limit=1 << 20):
+            langs = batch.column(1).to_pylist()
+            owner = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int64)
+            for group, code, n in zip(*(x.tolist() for x in gram_counts(batch.column(0).to_pylist(), owner)), strict=True):
+                totals[group, code] = totals.get((group, code), 0) + n
+            if len(totals) > most:
+                yield flush()
+        if totals:
+            yield flush()
+
+    return run
 
 
 def learn_profiles(labelled: DataFrame, size: int = 300, languages: int = 1000) -> dict[str, list[int]]:
     """``labelled`` (text, lang) -> language -> its n-grams in rank order."""
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    grams = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(_count(), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
     found: dict[str, list[int]] = {}
@@ -115,7 +130,7 @@ class Profiles:
         for i, name in enumerate(self.names):
             self.ranks[i, np.searchsorted(self.grams, ranked[name])] = np.arange(len(ranked[name]))
 
-    def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def classify(self, texts: list[str]) -> tuple[list[str | None], np.ndarray]:
         """Language and score of each text."""
         n = len(texts)
         doc, gram, count = gram_counts(texts, np.arange(n, dtype=np.int64))
@@ -128,7 +143,7 @@ class Profiles:
         most = np.bincount(doc, minlength=n) * self.size
         lettered = np.bincount(doc, weights=gram != (BLANK << 21 | BLANK), minlength=n) > 0
         if not self.names:
-            return ["und"] * n, np.zeros(n)
+            return [None if ok else "und" for ok in lettered.tolist()], np.zeros(n)
         at = np.searchsorted(self.grams, gram)
         at[at == len(self.grams)] = 0
         at = np.where(self.grams[at] == gram, at, len(self.grams))
@@ -148,11 +163,28 @@ def _classify(profiles):
         for batch in slices(batches, "text", limit=1 << 20, rows=512):
             at = batch.schema.get_field_index("text")
             lang, score = profiles.value.classify(pc.fill_null(batch.column(at), "").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+
+    return run
+
+
+def _keep(profiles):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in slices(batches, "text", limit=1 << 20, rows=512):
+            lang, _ = profiles.value.classify(pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in lang]))
 
     return run
 
 
+def in_some_language(docs: DataFrame, ranked: dict[str, list[int]], size: int = 300) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` does not call ``und``, with their own columns only."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(Profiles(ranked, size))), schema)
+
+
 def identify(docs: DataFrame, ranked: dict[str, list[int]], size: int = 300) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; other columns are kept as they are."""
     docs = docs.drop("lang_pred", "score")

@@ -11,6 +11,7 @@ plain integers, so the join is an equi-join and the planner splits hot cells.
 
 Copies are folded first: the join and the components run on distinct
 fingerprints.  Documents get the smallest ``doc_id`` of their component.
+Fingerprints and components with very many rows meet them by broadcast.
 
 Nulls and texts without words have fingerprint zero and link like any other;
 null ``doc_id`` is passed over by the smallest id, and stands alone as null only
@@ -27,6 +28,7 @@ from arborlake.graph.components import connected_components
 from arborlake.llm.common import materialize, table
 from arborlake.llm.minhash import SKETCH_DDL, shingle_hashes, sketches, spanning_links
 from arborlake.llm.simhash_bits import fingerprints
+from arborlake.operators.skew import join_counted
 
 SEGMENTS_PER_HALF = 16
 
@@ -72,15 +74,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     """doc_id, fp (signed), component_id for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(rows.mapInArrow(fingerprints(words, seed), "doc_id long, fp long"))
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    total = prints.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     parts = connected_components(near_pairs(prints, bits), "a", "b", materialize)
-    of = prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = of.join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    of = materialize(prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", "first_id", F.col("n").alias("copies"), F.coalesce("component", "fp").alias("component")))
+    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    ids = join_counted(of, least, ["component"], total["prints"]).select("fp", "component_id", F.col("copies").alias("n"))
+    return join_counted(rows, ids, ["fp"], total["rows"]).select("doc_id", "fp", "component_id")
 
 
-def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, order: int = 5, seed: int = 42) -> DataFrame:
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, order: int = 5, seed: int = 42, block: int = 256) -> DataFrame:
     """doc_id, row_key, component of each row of ``docs``, linked by exact similarity.
 
     SimHash at 3 bits finds few pairs of similarity 0.8 or 0.9, so candidates
@@ -90,16 +93,19 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands
     counted in full on 64-bit hashes, is ``similarity`` or more.
 
     In a bucket (the texts of a key) each text is compared with the first and the
-    last.  Buckets that this leaves in several components are joined to groups by
-    the texts they share, and all pairs of such a group are compared in one task.
-    ``row_key`` hashes doc_id and text.
+    last.  Of buckets that this leaves in several components, and of equal ones
+    among them one only, all pairs are compared that can still join components:
+    the texts outside the first one's component with those in it and with one
+    another.  They meet in tasks of two blocks of about ``block`` texts, which
+    put out links that span what they join, so neither a task nor its output
+    grows with the bucket.  ``row_key`` hashes doc_id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
     rows = materialize(keyed.mapInArrow(sketches(words, bands, order, seed), SKETCH_DDL))
     nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
     single = materialize(nodes.select("node", "row_key", F.explode("keys").alias("key")))
-    ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = materialize(single.join(ends, "key"))
+    ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
+    members = materialize(join_counted(single, ends, ["key"], single.count()))
     wanted = members.select("row_key", "node").distinct()
     texts = keyed.join(wanted, "row_key").dropDuplicates(["node"]).select("node", "text")
     sets = materialize(texts.mapInArrow(shingle_hashes(words, seed), "node long, hashes array<long>"))
@@ -114,12 +120,26 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands
     ordered = [F.least("node", end).alias("a") for end in ("low", "high")], [F.greatest("node", end).alias("b") for end in ("low", "high")]
     to_low, to_high = (members.select(a, b).filter("a < b") for a, b in zip(*ordered, strict=True))
     links = linked(to_low.union(to_high))
-    parts = connected_components(links, "a", "b", materialize)
-    within = members.join(parts, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
-    split = within.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    across = connected_components(within.join(split, "key").select("node", "low"), "node", "low", materialize)
-    more = across.join(sets, "node").select("component", "node", "hashes").groupBy("component").applyInArrow(spanning_links(similarity), "a long, b long")
-    parts = connected_components(links.union(more), "a", "b", materialize).withColumnRenamed("node", "member")
+    parts = materialize(connected_components(links, "a", "b", materialize))
+    of_low = parts.select(F.col("node").alias("low"), F.col("component").alias("first"))
+    within = materialize(
+        members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        .join(of_low, "low", "left").select("key", "node", (F.col("component") == F.coalesce("first", "low")).alias("inside"))
+    )
+    shape = within.groupBy("key").agg(F.count("*").alias("n"), F.count_if("inside").alias("inner"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
+    shape = shape.filter("inner < n").groupBy("n", "inner", "sum", "xor").agg(F.min("key").alias("key"))
+    blocks = shape.select("key", "n", F.ceil(F.col("inner") / block).alias("ins"), F.ceil((F.col("n") - F.col("inner")) / block).alias("outs"))
+    held = join_counted(within, blocks, ["key"], within.count())
+    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)
+    with_inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ins") - 1), lambda i: F.struct(i.alias("lo"), F.col("mine").alias("hi"), F.lit(True).alias("crossed")))
+    with_outer = F.transform(others, lambda i: F.struct(F.least(i, F.col("mine")).alias("lo"), F.greatest(i, F.col("mine")).alias("hi"), F.lit(False).alias("crossed")))
+    tasks = F.when(F.col("inside"), F.transform(others, lambda i: F.struct(F.col("mine").alias("lo"), i.alias("hi"), F.lit(True).alias("crossed")))).otherwise(F.concat(with_inner, with_outer))
+    met = held.withColumn("mine", mine).select("node", "key", F.explode(tasks).alias("task"), F.when(F.col("inside"), F.lit(-1)).otherwise(F.col("mine")).alias("side"))
+    met = met.select("key", "task.lo", "task.hi", "task.crossed", "side", "node").join(sets, "node")
+    one_task = ["key", "lo", "hi", "crossed"]
+    compared = met.repartition(*one_task).sortWithinPartitions(*one_task, "side").mapInArrow(spanning_links(similarity), "a long, b long")
+    parts = connected_components(links.union(materialize(compared)), "a", "b", materialize).withColumnRenamed("node", "member")
     return rows.join(parts, F.col("node") == F.col("member"), "left").select("doc_id", "row_key", F.coalesce("component", "node").alias("component"))
 
 

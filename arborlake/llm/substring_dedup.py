@@ -3,20 +3,21 @@
 A text is cut into lines, a line into sentences (a run of other characters
 with the ``.``, ``!``, ``?`` that end it).  Units are the sentences and, where
 a line has several, the line; each is lower-cased with blanks collapsed, and
-those of fewer than ``min_words`` words are left alone.  Equal digests are
-grouped over all documents; the occurrence with the smallest (doc_id, start)
+those of fewer than ``min_words`` words and ``min_chars`` characters (which
+count where a script has no blanks) are left alone.  Equal digests are over all documents; the occurrence with the smallest (doc_id, start)
 stays and the others go.  The first occurrence of a sentence is never inside a
 line that goes (the first occurrence of that line would hold it earlier), so
 one pass decides both levels.  A line goes with its line break; a line of which
 only blanks are left goes too.  Spans are character offsets in the input text.
 
-Occurrences are counted by digest before any of them moves, only digests with
-two or more are joined back, and the join is a plain equi-join that adaptive
-execution splits at a hot digest.
+Occurrences are counted by digest before any of them moves, and only digests
+with two or more are joined back.  Digests with a thousandth of all occurrences
+are few and are broadcast, so those occurrences stay where they are.
 
 Nulls: a null text stays null and has no units; a null ``doc_id`` ranks last.
 Rows with equal doc_id and text are one document, so neither copy loses to the
-other.  Empty texts and tables pass.  All other columns are kept as they are.
+other.  Empty texts and tables pass.  All other columns are kept as they are,
+but for one named ``removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import scratch_path, slices, table
+from arborlake.llm.common import free_name, scratch_path, slices, table
+from arborlake.operators.skew import join_counted
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
 UNITS_DDL = "doc_id long, row_key long, d1 long, d2 long, start long, stop long"
 
 
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
+def units(text: str, min_words: int, min_chars: int) -> Iterator[tuple[int, int, str]]:
     """(start, stop, normalised unit) of each unit that is long enough."""
-    at, least = 0, 2 * min_words - 1
+    at, least = 0, min(2 * min_words - 1, min_chars)
     for line in text.split("\n"):
         if len(line) >= least:
             start, found = at, 0
@@ -44,17 +46,19 @@ def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
                 found += 1
                 if len(piece) >= least:
                     words = piece.lower().split()
-                    if len(words) >= min_words:
-                        yield start, start + len(piece), " ".join(words)
+                    unit = " ".join(words)
+                    if len(words) >= min_words or len(unit) >= min_chars:
+                        yield start, start + len(piece), unit
                 start += len(piece)
             if found > 1:
                 words = line.lower().split()
-                if len(words) >= min_words:
-                    yield at, at + len(line), " ".join(words)
+                unit = " ".join(words)
+                if len(words) >= min_words or len(unit) >= min_chars:
+                    yield at, at + len(line), unit
         at += len(line) + 1
 
 
-def _digests(min_words: int):
+def _digests(min_words: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
@@ -63,7 +67,7 @@ def _digests(min_words: int):
         for batch in slices(batches, "text", limit=2 << 20):
             of, starts, stops, made = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for start, stop, unit in units(text or "", min_words):
+                for start, stop, unit in units(text or "", min_words, min_chars):
                     of.append(i)
                     starts.append(start)
                     stops.append(stop)
@@ -117,23 +121,28 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "\n".join(lines), gone
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 8, min_chars: int = 40) -> DataFrame:
     """``docs`` with repeated units cut from ``text`` and their spans in ``removed``.
 
     The digests of units are written once to the shared folder and read twice:
     to count them, and to find the occurrences that go.
     """
     spark = docs.sparkSession
-    docs = docs.drop("removed", "row_key")
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    docs = docs.drop("removed")
+    key, id_key, spans_at = free_name(docs, "row_key"), free_name(docs, "id_key"), free_name(docs, "spans")
+    keyed = docs.withColumn(id_key, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(id_key, "text"))
     path = scratch_path(spark, "units")
-    keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text").mapInArrow(_digests(min_words), UNITS_DDL).write.parquet(path)
+    keyed.select(F.col(id_key).alias("doc_id"), F.col(key).alias("row_key"), "text").mapInArrow(_digests(min_words, min_chars), UNITS_DDL).write.parquet(path)
     found = spark.read.schema(UNITS_DDL).parquet(path)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "stop", "row_key")
-    twice = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("d1", "d2", "first")
-    later = found.join(twice, ["d1", "d2"]).filter(place != F.col("first"))
-    spans = later.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed"))
-    out = keyed.join(spans, "row_key", "left").select(*docs.columns, "removed")
+    twice_path = scratch_path(spark, "repeated-units")
+    found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").write.parquet(twice_path)
+    twice = spark.read.parquet(twice_path)
+    later = join_counted(found, twice, ["d1", "d2"], twice.agg(F.sum("n")).first()[0] or 0).filter(place != F.col("first"))
+    spans = later.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias(spans_at))
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("row_key").alias("span_key"), spans_at)
+    mine = keyed[id_key].eqNullSafe(spans["span_id"]) & (keyed[key] == spans["span_key"])
+    out = keyed.join(spans, mine, "left").select(*(keyed[c] for c in docs.columns), F.col(spans_at).alias("removed"))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "removed array<struct<start:long,stop:long>>"])
     return out.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns)), schema)
 
@@ -162,7 +171,7 @@ WITH lines AS (
   FROM lines l WHERE EXISTS (SELECT 1 FROM pieces p WHERE p.doc_id = l.doc_id AND p.line_no = l.line_no AND p.n > 1)
 ), later AS (
   SELECT doc_id, start, stop FROM (
-    SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start, stop) AS nth FROM units WHERE len(string_split(unit, ' ')) >= 8)
+    SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start, stop) AS nth FROM units WHERE len(string_split(unit, ' ')) >= 8 OR length(unit) >= 40)
   WHERE nth > 1
 ), marked AS (
   SELECT p.*, EXISTS (SELECT 1 FROM later r WHERE r.doc_id = p.doc_id AND r.start <= p.start AND r.stop >= p.start + length(p.piece)) AS gone FROM pieces p

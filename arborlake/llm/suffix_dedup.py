@@ -10,7 +10,8 @@ the anchor on that every one of its windows holds.  The steps:
 1. Anchors of all texts, each with the run of windows it serves, the hash of
    its core and of its union (all bytes of those windows).
 2. Anchors are counted by core and union.  A core seen once is done.  A union
-   seen twice makes all its windows repeated.  What is left are cores with
+   seen twice makes all its windows repeated; unions with a thousandth of all
+   anchors are few and meet their anchors by broadcast.  What is left are cores with
    several unions, near the ends of repeated passages; one suffix for each
    such union goes on.
 3. Distributed merge sort: tasks sort these suffixes into runs and exchange
@@ -21,7 +22,9 @@ the anchor on that every one of its windows holds.  The steps:
    bytes L to the left, and windows from p - L to p + R - 400 are repeated.
 4. Cores with more than ``group`` unions would make groups of any size; their
    windows are hashed one by one (128 bits) and dealt by that hash instead,
-   which is exact too and splits the hottest passage over all tasks.
+   which is exact too and splits the hottest passage over all tasks.  Windows
+   that a task holds twice are settled there and one of each goes on, so a
+   bucket gets at most one of a kind from each lot of a task.
 5. Runs of repeated windows are merged by document and cut from its bytes.
 
 A repeated row sends its suffixes twice, but only such as are repeated anyway.
@@ -45,13 +48,15 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import scratch_path, slices, table, utf8
 from arborlake.llm.lcp_merge import common_prefix, front_code, front_decode, merge, sorted_run
 from arborlake.llm.words import mix
+from arborlake.operators.skew import join_counted
 
 GRAM = 32
 ANCHORS_DDL = "row_key long, p long, lo long, hi long, core long, u1 long, u2 long"
+SORTED, HASHED, SETTLED = 0, 1, 2  # what a row of RUNS holds
 RUNS = pa.schema(
-    [("bucket", pa.int64()), ("hashed", pa.bool_()), ("row_keys", pa.binary()), ("places", pa.binary()), ("shared", pa.binary()), ("sizes", pa.binary()), ("rests", pa.binary()), ("before", pa.binary())]
+    [("bucket", pa.int64()), ("kind", pa.int32()), ("row_keys", pa.binary()), ("places", pa.binary()), ("shared", pa.binary()), ("sizes", pa.binary()), ("rests", pa.binary()), ("before", pa.binary())]
 )
-RUNS_DDL = "bucket long, hashed boolean, row_keys binary, places binary, shared binary, sizes binary, rests binary, before binary"
+RUNS_DDL = "bucket long, kind int, row_keys binary, places binary, shared binary, sizes binary, rests binary, before binary"
 SPANS_DDL = "row_key long, start long, stop long"
 
 
@@ -157,7 +162,7 @@ def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
                 shared, rests = front_code(done)
                 carried = [c for _, _, c in done]
                 row = {
-                    "bucket": bucket, "hashed": False, "row_keys": np.array([c[0] for c in carried], "<i8").tobytes(), "places": np.array([c[1:4] for c in carried], "<i8").tobytes(),
+                    "bucket": bucket, "kind": SORTED, "row_keys": np.array([c[0] for c in carried], "<i8").tobytes(), "places": np.array([c[1:4] for c in carried], "<i8").tobytes(),
                     "shared": np.array(shared, "<u2").tobytes(), "sizes": np.array([(len(r), len(c[4])) for r, c in zip(rests, carried, strict=True)], "<u2").tobytes(),
                     "rests": b"".join(rests), "before": b"".join(c[4] for c in carried),
                 }
@@ -165,10 +170,14 @@ def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
             if windows:
                 digests = np.frombuffer(b"".join(w[2] for w in windows), "<u8").reshape(-1, 2)
                 place = np.array([w[:2] for w in windows], "<i8")
-                of = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                    row = {"bucket": int(of[part[0]]), "hashed": True, "row_keys": place[part, 0].tobytes(), "places": place[part, 1].tobytes(), "rests": digests[part].tobytes()}
+                again, sent = repeats(digests)
+                spans = joined(place[again, 0], place[again, 1], place[again, 1])
+                for bucket, part in parted(spans[:, 0].view(np.uint64) % np.uint64(buckets)):
+                    row = {"bucket": bucket, "kind": SETTLED, "row_keys": spans[part, 0].tobytes(), "places": spans[part, 1:].tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], schema=RUNS)
+                for bucket, part in parted(digests[sent, 0] % np.uint64(buckets)):
+                    part = sent[part]
+                    row = {"bucket": bucket, "kind": HASHED, "row_keys": place[part, 0].tobytes(), "places": place[part, 1].tobytes(), "rests": digests[part].tobytes()}
                     yield pa.RecordBatch.from_pylist([row], schema=RUNS)
             suffixes.clear()
             windows.clear()
@@ -193,6 +202,21 @@ def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
     return run
 
 
+def repeats(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose digest is there twice or more, and the first row of each digest."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    same = np.r_[False, (digests[order[1:]] == digests[order[:-1]]).all(axis=1)] if len(order) else np.zeros(0, dtype=bool)
+    return order[same | np.r_[same[1:], False]] if len(order) else order, order[~same]
+
+
+def parted(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the rows that it has."""
+    order = np.argsort(buckets, kind="stable")
+    if len(order):
+        for part in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
+            yield int(buckets[part[0]]), part
+
+
 def pair_lengths(neighbours: list[int]) -> np.ndarray:
     """Common prefixes of any two of sorted strings from those of neighbours (smallest between)."""
     n = len(neighbours)
@@ -236,7 +260,7 @@ def _merge_runs(length: int, span: int):
         spans: list[tuple[int, int, int]] = []
         members: list[tuple[bytes, tuple]] = []
         shared: list[int] = []
-        for n, text, carried in merge([decode(r) for r in rows if not r["hashed"]]):
+        for n, text, carried in merge([decode(r) for r in rows if r["kind"] == SORTED]):
             if n < core:
                 if len(members) > 1:
                     spans += group_spans(members, shared, length)
@@ -245,15 +269,15 @@ def _merge_runs(length: int, span: int):
             shared.append(n)
         if len(members) > 1:
             spans += group_spans(members, shared, length)
-        hashed = [r for r in rows if r["hashed"]]
         out = [np.array(spans, dtype=np.int64).reshape(-1, 3)]
-        if hashed:
+        for r in rows:
+            if r["kind"] == SETTLED:
+                out.append(np.c_[np.frombuffer(r["row_keys"], "<i8"), np.frombuffer(r["places"], "<i8").reshape(-1, 2)])
+        if hashed := [r for r in rows if r["kind"] == HASHED]:
             digests = np.concatenate([np.frombuffer(r["rests"], "<u8") for r in hashed]).reshape(-1, 2)
             keys = np.concatenate([np.frombuffer(r["row_keys"], "<i8") for r in hashed])
             place = np.concatenate([np.frombuffer(r["places"], "<i8") for r in hashed])
-            order = np.lexsort((digests[:, 1], digests[:, 0]))
-            same = np.r_[False, (digests[order[1:]] == digests[order[:-1]]).all(axis=1)]
-            twice = order[same | np.r_[same[1:], False]]
+            twice, _ = repeats(digests)
             out.append(joined(keys[twice], place[twice], place[twice]))
         spans = np.concatenate(out)
         return pa.table([pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(spans[:, 2] + length)], names=["row_key", "start", "stop"])
@@ -318,7 +342,8 @@ def repeated_spans(keyed: DataFrame, length: int = 400, span: int = 256, group:
     texts = zipped(keyed).select("row_key", "packed").join(picks, "row_key")
     runs = texts.mapInArrow(_runs(length, span, buckets), RUNS_DDL)
     partial = runs.groupBy("bucket").applyInArrow(_merge_runs(length, span), SPANS_DDL)
-    full = found.join(unions.filter("n > 1").select("u1", "u2").distinct(), ["u1", "u2"]).select("row_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    total = unions.agg(F.sum("n")).first()[0] or 0
+    full = join_counted(found, unions.filter("n > 1").select("core", "u1", "u2", "n"), ["core", "u1", "u2"], total).select("row_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     return full.unionByName(partial)
 
 

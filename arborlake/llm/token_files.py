@@ -13,15 +13,21 @@ range), ``seq`` (number in the range), ``before`` (ids earlier in the range),
 ``levels`` (width, count, chunks, bitmap, ranks).  Spark's writers commit whole
 files, so a lost executor leaves no half segment.
 
+``token_at`` and ``tokens_at`` turn positions in the whole data set into a
+segment and an offset, and read single ids there without decoding others.
+
 Nulls: a null text is an empty one; null ``doc_id`` sorts first.  Repeated
-``doc_id`` rows stay apart, in text order.  An empty table gives no rows.
-Extra columns are not read.
+``doc_id`` rows stay apart, in the order of a hash of their text, so that rows
+of one id can be dealt to several ranges.  A text longer than a segment has one
+of its own.  An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -139,13 +145,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     One range shuffle of the texts orders them; encoding, splitting and writing
     share its stage.  A task holds one segment at a time.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal rows are told apart by their place in the input; which of them comes first makes no difference
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("nth"))
+    order = ["doc_id", "text_hash", "nth"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer, end_id, segment_tokens), SEGMENT_DDL).write.mode("errorifexists").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             segment, at, out = Segment(row["levels"]), 0, []
             for doc_id, end in zip(row["doc_ids"], row["doc_ends"], strict=True):
                 crc = zlib.crc32(segment.range(at, end).astype("<u4").tobytes())
@@ -157,19 +166,62 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
+def _first_of_files(files: DataFrame) -> list[tuple[int, int]]:
+    """(part, ids in all files before it): one number for each written file."""
+    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    ends = list(accumulate((n for _, n in totals), initial=0))
+    return [(part, first) for (part, _), first in zip(totals, ends, strict=False)]
+
+
+def _with_first(files: DataFrame) -> DataFrame:
+    """Segments with ``first``, the ids of the data set before each."""
+    first = F.broadcast(files.sparkSession.createDataFrame(_first_of_files(files), "part int, part_first long"))
+    return files.join(first, "part").withColumn("first", F.col("part_first") + F.col("before")).drop("part_first")
+
+
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """The id at ``position`` of the data set; only its segment is read."""
+    files = spark.read.schema(SEGMENT_DDL).parquet(path)
+    firsts = _first_of_files(files)
+    i = bisect_right([first for _, first in firsts], position) - 1
+    if i >= 0:
+        part, first = firsts[i]
+        inside = (F.col("part") == part) & (F.col("before") <= position - first) & (F.col("before") + F.col("n_tokens") > position - first)
+        if row := files.filter(inside).select("before", "levels").first():
+            return Segment(row["levels"])[position - first - row["before"]]
+    raise IndexError(position)
+
+
+def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            segment = Segment(row["levels"])
+            ids = [segment[p - row["first"]] for p in row["positions"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["positions"], pa.int64()), pa.array(ids, pa.int64())], ["position", "token_id"])
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """position, token_id for each distinct ``position`` inside the data set; others and nulls are left out.
+
+    Segments are entered in all cells of ``width`` positions that they overlap,
+    so a position finds its segment by an equi-join.  The positions of a
+    segment meet in one row, which its size bounds.
+    """
+    segments = _with_first(spark.read.schema(SEGMENT_DDL).parquet(path)).filter("n_tokens > 0")
+    width = segments.agg(F.max("n_tokens")).first()[0] or 1
+    stop = F.col("first") + F.col("n_tokens")
+    places = segments.select("first", stop.alias("stop"), F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((stop - 1) / width))).alias("cell"))
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("cell", F.floor(F.col("position") / width))
+    found = asked.join(places, "cell").filter("position >= first and position < stop").groupBy("first").agg(F.collect_list("position").alias("positions"))
+    return segments.select("first", "levels").join(found, "first").mapInArrow(_lookups, "position long, token_id long")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document: its global start, length and the crc of its ids.
 
     What goes to the driver is one number for each written file.
     """
-    files = spark.read.schema(SEGMENT_DDL).parquet(path)
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    firsts, at = [], 0
-    for part, n in totals:
-        firsts.append((part, at))
-        at += n
-    first = F.broadcast(spark.createDataFrame(firsts, "part int, part_first long"))
-    rows = files.join(first, "part").withColumn("first", F.col("part_first") + F.col("before")).drop("part_first")
+    rows = _with_first(spark.read.schema(SEGMENT_DDL).parquet(path))
     return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int, segment_offset long")
 
 

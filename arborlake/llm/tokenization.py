@@ -6,10 +6,15 @@ blank starts with it, and its only context is a look-ahead), so the ids of the
 pieces, one after the other, are the ids of the text.  Pieces repeat, so their
 ids are kept in a bounded table; a piece of plain Latin letters goes straight
 to the BPE model, any other through the full encoder.
+
+That holds only for a byte-level BPE without normalizer, prefix blank, dropout
+or word affixes, which is checked when the file is loaded; any other tokenizer
+encodes whole texts, and so does every text that holds an added token.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -29,6 +34,16 @@ def _word(piece: str) -> bool:
     return piece.isalpha() and max(piece) < "\u0250"
 
 
+def cuts_at_blanks(settings: dict) -> bool:
+    """Whether the ids of pieces cut at single blanks are the ids of the text."""
+    before, model = settings["pre_tokenizer"] or {}, settings["model"]
+    plain = not (settings["normalizer"] or settings["truncation"] or settings["padding"])
+    level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    affixes = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+    after = settings["post_processor"]
+    return bool(plain and level and model.get("type") == "BPE" and not affixes and (after is None or after.get("type") == "ByteLevel"))
+
+
 class _Pieces(dict):
     """piece -> its ids as little-endian uint32 bytes; grows to ``limit`` entries."""
 
@@ -60,11 +75,15 @@ class TextEncoder:
 
         self._np = np
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        settings = json.loads(self._tokenizer.to_str())
+        self.piecewise = cuts_at_blanks(settings)
+        added = [t["content"] for t in settings["added_tokens"]]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._model = self._tokenizer.model
         self._spell = {b: c for b, c in byte_alphabet().items()}
         self.marks: dict[str, bytes] = {}
-        self.marks = {c: self.full_ids(c) for c in ".,;:!?"}
+        if self.piecewise:
+            self.marks = {c: self.full_ids(c) for c in ".,;:!?"}
         self._first, self._rest = _Pieces(self, "", limit // 10), _Pieces(self, " ", limit)
 
     def full_ids(self, text: str) -> bytes:
@@ -79,6 +98,8 @@ class TextEncoder:
         """All ids of ``text`` as little-endian uint32 bytes; null is empty."""
         if not text:
             return b""
+        if not self.piecewise or (self._added and self._added.search(text)):
+            return self.full_ids(text)
         pieces = _CUT.split(text) if _RUN.search(text) else text.split(" ")
         head = self._first[pieces[0]] if pieces[0] else b""
         if not pieces[0]:  # the text starts with a blank: what follows is a piece with its blank

@@ -1,6 +1,8 @@
 """The corpus operators against brute force, on small tables with the odd cases."""
 
 import hashlib
+import json
+import math
 import random
 import re
 import zlib
@@ -32,9 +34,7 @@ ODD = [(1, "Hello there world, hello again."), (2, None), (3, ""), (4, "  \n\n "
 def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def test_piecewise_ids_are_the_ids_of_the_text(plain_tokenizer):
@@ -46,6 +46,23 @@ def test_piecewise_ids_are_the_ids_of_the_text(plain_tokenizer):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == plain_tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_tokens_and_other_tokenizers(tmp_path, plain_tokenizer):
+    ids = lambda e, t: np.frombuffer(e.encode(t), "<u4").tolist()
+    mine = tokenization.TextEncoder(BPE)
+    assert ids(mine, "a <|endoftext|> b") == [64, 220, 50256, 275] == plain_tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    assert mine.piecewise
+    settings = json.loads(plain_tokenizer.to_str())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": settings["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": settings["model"] | {"dropout": 0.0, "end_of_word_suffix": "x"}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(settings | change))
+        from tokenizers import Tokenizer
+
+        other = tokenization.TextEncoder(str(path))
+        assert not other.piecewise
+        text = "Hello There, wide  WORLD. It's 12,5 x"
+        assert ids(other, text) == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_levels_give_random_access():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 3_000_000, 4000)
@@ -67,6 +84,63 @@ def test_token_files_round_trip(spark, plain_tokenizer):
     assert sorted(got, key=lambda x: x[1]) == want
 
 
+def test_single_tokens_of_the_data_set(spark, plain_tokenizer):
+    rows = [(1, "Hello there world"), (2, "x " * 700), (None, "first by its null id"), (2, "another text of id two"), (9, ""), (9, None)]
+    path = common.scratch_path(spark, "t")
+    token_files.write_token_files(docs(spark, rows).repartition(3), path, BPE, segment_tokens=5)
+    places = token_files.read_token_files(spark, path).collect()
+    assert spark.read.parquet(path).count() > 3
+    by_crc = {zlib.crc32(np.array(ids, dtype="<u4").tobytes()): ids for ids in (plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows)}
+    every = [i for r in sorted(places, key=lambda r: r["start"]) for i in by_crc[r["ids_crc32"]]]
+    assert sum(len(by_crc[r["ids_crc32"]]) for r in places) == len(every) > 700
+    asked = [0, 1, 5, 6, 300, len(every) - 1]
+    assert [token_files.token_at(spark, path, p) for p in asked] == [every[p] for p in asked]
+    for p in (-1, len(every)):
+        with pytest.raises(IndexError):
+            token_files.token_at(spark, path, p)
+    many = spark.createDataFrame([(p,) for p in [*range(-3, len(every) + 3), 5, 5]] + [(None,)], "position long")
+    assert dict(map(tuple, token_files.tokens_at(spark, path, many).collect())) == dict(enumerate(every))
+
+
+def test_one_id_is_dealt_to_several_ranges(spark):
+    rows = [(7, f"text number {i}") for i in range(400)] + [(1, "one"), (9, "nine")]
+    path = common.scratch_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        token_files.write_token_files(docs(spark, rows).repartition(4), path, BPE)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1, *[7] * 400, 9] and len({r["part"] for r in got if r["doc_id"] == 7}) == 2
+    assert [r["start"] for r in got[1:]] == [r["start"] + r["n_tokens"] for r in got[:-1]]
+
+
+def test_very_long_texts(spark, plain_tokenizer):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9)))
+    long = " ".join(word() for _ in range(250_000)) + ".\n" + "no blanks" * 2_000
+    tail = long[-30_000:]
+    rows = [(1, long), (2, "short one"), (3, tail), (4, long[600_000:601_000])]
+    d = docs(spark, rows)
+    path = common.scratch_path(spark, "t")
+    token_files.write_token_files(d, path, BPE, segment_tokens=1000)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, path).collect()}
+    for i, t in rows:
+        ids = np.array(plain_tokenizer.encode(t, add_special_tokens=False).ids + [2], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+    out = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(d).collect()}
+    assert out[3]["n_removed"] == 30_000 and out[4]["n_removed"] == 1000 and out[2]["n_removed"] == 0 and 31_000 <= out[1]["n_removed"]
+    texts = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(d).collect()}
+    assert texts[1] == long and texts[2] == "short one" and len(texts[3]) < 30_000
+    assert {r["doc_id"]: r["score"] is not None for r in quality.score_quality(d, quality.RuleModel(0.3)).collect()} == dict.fromkeys((1, 2, 3, 4), True)
+    bench = spark.createDataFrame([("a", long[1_000_000:1_000_400]), ("b", "nothing here")], "item_id string, text string")
+    report = {r["doc_id"]: r for r in decontaminate.contamination_report(decontaminate.find_contamination(d, bench)).collect()}
+    want = slow_contamination(long[999_000:1_002_000], [("a", long[1_000_000:1_000_400])])
+    assert report[1]["contaminated"] and report[1]["n_hit"] >= want[1] > 50 and not report[2]["contaminated"]
+    said = {r["doc_id"]: r["lang_pred"] for r in language.identify(d, language.learn_profiles(d.withColumn("lang", F.when(F.col("doc_id") == 1, "x").otherwise("y")))).collect()}
+    assert said[1] == "x" and set(said) == {1, 2, 3, 4}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     path = common.scratch_path(spark, "t")
@@ -136,6 +210,14 @@ def test_substring_dedup_cases(spark):
     assert got == sorted([("1", rows[0][1]), ("2", rows[1][1]), ("3", "kept"), ("4", None), ("5", ""), ("None", ""), ("6", "short line\nshort line"), ("7", "x"), ("7", "x")], key=lambda x: (x[0], x[1] or ""))
 
 
+def test_units_without_blanks_and_clashing_columns(spark):
+    line = "这是一个没有空格的很长的句子" * 3
+    d = spark.createDataFrame([(1, line, "a", "k"), (2, f"{line}\nrest", "b", "l"), (3, "short", "c", "m"), (4, "short", "d", "n")], "doc_id int, text string, removed string, id_key string")
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(d).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: line, 2: "rest", 3: "short", 4: "short"}
+    assert [(x["start"], x["stop"]) for x in got[2]["removed"]] == [(0, len(line) + 1)] and got[2]["id_key"] == "l"
+
+
 def test_substring_dedup_is_its_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -206,25 +288,71 @@ def test_long_runs_of_hashes_do_not_overflow():
 
 
 def test_sharding_laws(spark):
-    rows = [(i, "x" * (i % 7)) for i in range(3000)] + [(None, "n"), (None, None), (5, "again")]
-    out = sharding.assign(docs(spark, rows), sharding.layout(24), sharding.layout(25)).collect()
-    assert len(out) == len(rows) and all(r["grown_shard"] in (r["shard"], 24) for r in out) and 60 < sum(r["grown_shard"] == 24 for r in out) < 200
+    rows = [(i, "x" * (i % 7)) for i in range(3000)] + [(None, "n"), (None, None), (5, "again")] + [(77, "hot")] * 500
+    out = sharding.assign(docs(spark, rows), sharding.layout(24), sharding.layout(25), part_rows=20).collect()
+    assert len(out) == len(rows) and all(r["grown_shard"] in (r["shard"], 24) for r in out) and 60 < sum(r["grown_shard"] == 24 for r in out if r["doc_id"] != 77) < 200
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((i, len(t or "") + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     slots = {}
     for r in out:
         slots.setdefault(r["shard"], []).append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) < 190
-    one = next(r for r in out if r["doc_id"] == 6)
-    assert one["size"] == 8 + 6 and one["text_crc32"] == zlib.crc32(b"x" * 6)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 24
+    assert sorted(len({r["doc_id"] for r in out if r["shard"] == s}) for s in slots)[-1] < 190
+    by_key = {}
+    for r in out:
+        by_key.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in by_key.values())
+
+
+@pytest.mark.parametrize("n", [1, 5, 24, 25, 31])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    keys = spark.range(3000).select(F.col("id").alias("k"))
+    got = sharding.place(sharding.place(keys, F.col("k"), sharding.layout(n, base=min(n, 24)), "a"), F.col("k"), sharding.layout(n + 1, base=min(n, 24)), "b").collect()
+    assert all(r["b"] in (r["a"], n) for r in got) and 0.5 < Counter(r["b"] for r in got)[n] / (3000 / (n + 1)) < 1.5
+
+
+def slow_shard(spark, keys, tree):
+    """By descent, child by child, with hashes from single rows."""
+    regions = sorted({s.region for s in tree})
+
+    def draws(children):  # (name, weight, what follows the key in the hash)
+        frame = spark.createDataFrame([(k,) for k in keys], "k long")
+        cols = [F.shiftrightunsigned(F.xxhash64("k", *(F.lit(x) for x in path)), 11).alias(f"c{i}") for i, (_, _, path) in enumerate(children)]
+        rows = {r["k"]: r for r in frame.select("k", *cols).collect()}
+        return {k: min((-math.log((rows[k][f"c{i}"] + 0.5) / 2.0**53) / w, name) for i, (name, w, _) in enumerate(children) if w > 0)[1] for k in keys} if any(w > 0 for _, w, _ in children) else {}
+
+    weight = lambda test: sum(s.weight for s in tree if test(s))
+    region = draws([(r, weight(lambda s, r=r: s.region == r), ["region", r]) for r in regions])
+    out = {}
+    for r in regions:
+        rack = draws([(q, weight(lambda s, q=q, r=r: (s.region, s.rack) == (r, q)), ["rack", r, q]) for q in sorted({s.rack for s in tree if s.region == r})])
+        for q in {s.rack for s in tree if s.region == r}:
+            leaf = draws([(i, s.weight, ["shard", i]) for i, s in enumerate(tree) if (s.region, s.rack) == (r, q)])
+            out |= {k: leaf[k] for k in keys if region[k] == r and rack[k] == q and leaf}
+    return out
+
+
+TREE = [sharding.Shard(3, 0), sharding.Shard(3, 0, 2.0), sharding.Shard(3, 5, 0.5), sharding.Shard(8, 1, 4.0), sharding.Shard(8, 1), sharding.Shard(8, 2, 0.0), sharding.Shard(9, 0, 3.0)]
+
+
+def test_place_descends(spark):
+    keys = list(range(400))
+    got = dict(map(tuple, sharding.place(spark.createDataFrame([(k,) for k in keys], "k long"), F.col("k"), TREE, "shard").collect()))
+    assert got == slow_shard(spark, keys, TREE) and 5 not in got.values()
 
 
 def test_weights_move_rows_only_into_what_grew(spark):
-    keys = spark.range(4000).select(F.col("id").alias("k"))
+    keys = spark.range(6000).select(F.col("id").alias("k"))
     tree = sharding.layout(16)
     heavy = [sharding.Shard(s.region, s.rack, 3.0 if i == 5 else 1.0) for i, s in enumerate(tree)]
-    got = keys.select(sharding.shard_of(F.col("k"), tree).alias("a"), sharding.shard_of(F.col("k"), heavy).alias("b")).collect()
-    assert all(r["b"] in (r["a"], 5) for r in got)
-    share = Counter(r["b"] for r in got)[5] / 4000
-    assert 0.12 < share < 0.22
+    got = sharding.place(sharding.place(keys, F.col("k"), tree, "a"), F.col("k"), heavy, "b").collect()
+    at = lambda i: (tree[i].region, tree[i].rack)
+    for r in got:
+        a, b, changed = at(r["a"]), at(r["b"]), at(5)
+        assert a[0] == b[0] or b[0] == changed[0]  # other regions only give rows
+        assert a[0] != b[0] or a[1] == b[1] or b[1] == changed[1]  # and in a region other racks
+        assert a != b or r["a"] == r["b"] or r["b"] == 5  # and in a rack other shards
+    share = Counter(r["b"] for r in got)
+    assert 0.13 < share[5] / 6000 < 0.21 and all(0.04 < share[i] / 6000 < 0.075 for i in range(16) if i != 5)
 
 
 def slow_contamination(text, items, window=10):
@@ -241,16 +369,30 @@ def slow_contamination(text, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 60])
-def test_contamination(spark, block_words):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 200])
+def test_contamination(spark, block_bytes):
     rng = random.Random(5)
     word = lambda: rng.choice("ab cd ef gh".split())
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 14, 30])))) for i in range(25)] + [(3, "AB cd!ef"), (99, None), (100, "ümlaut Öl x y z")]
     rows = [(i, " ".join(word() for _ in range(rng.choice([0, 2, 8, 40])))) for i in range(40)] + ODD + [(50, "so Ümlaut"), (51, "ümlaut Öl x, y-z and on")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    report = decontaminate.contamination_report(decontaminate.find_contamination(docs(spark, rows), bench, block_words=block_words))
+    report = decontaminate.contamination_report(decontaminate.find_contamination(docs(spark, rows), bench, block_bytes=block_bytes))
     want = sorted((str(i), *slow_contamination(t, items)) for i, t in rows)
     assert sorted((str(r["doc_id"]), *r[1:]) for r in report.collect()) == want
+    clean = decontaminate.drop_contaminated(docs(spark, rows), bench, block_bytes=block_bytes)
+    assert clean.columns == docs(spark, rows).columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in clean.collect()) == sorted([(str(i), t) for i, t in rows if not slow_contamination(t, items)[-1]], key=lambda x: (x[0], x[1] or ""))
+
+
+def test_a_block_is_small(spark):
+    rng = random.Random(13)
+    items = [(str(i), " ".join(f"{rng.randrange(10**6):06d}" for _ in range(500))) for i in range(100)]
+    block = decontaminate.Block(items, 10, 5)
+    held = len(block.words) + block.starts.nbytes + sum(x.nbytes for part in (block.prints, block.keys, block.at, block.item) for x in part.values())
+    assert held < 50 * 50_000
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    sizes = [sum(len(t) for _, t in b) for b in decontaminate._blocks(bench, 40_000)]
+    assert sum(sizes) == sum(len(t) for _, t in items) and max(sizes) <= 80_000
 
 
 def test_winnowing_keeps_one_in_every_window():
@@ -296,7 +438,7 @@ def test_suffix_dedup(spark, group):
         c = list(base)
         c[rng.randrange(len(c))] = "Z"
         texts.append("".join(c))
-    texts += [texts[5], "ab " * 300, "x" * 700, None, ""]
+    texts += [texts[5], "ab " * 300, "x" * 700, None, ""] + ["line of a hot passage " * 25] * 300
     out = suffix_dedup.suffix_dedup(docs(spark, list(enumerate(texts))).repartition(4), group=group)
     got = sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()))
     want = [(i, *x) for i, x in enumerate(suffix_dedup.brute_force([(t or "").encode() for t in texts], 400))]
@@ -325,6 +467,43 @@ def test_language_on_held_out_documents(spark):
     odd = language.identify(docs(spark, ODD), language.learn_profiles(common.table(spark, SF, "documents"))).collect()
     assert {str(r["doc_id"]): r["lang_pred"] == "und" for r in odd if r["doc_id"] in (1, 2, 3, 4)} == {"1": False, "2": True, "3": True, "4": True}
     assert all(0 <= r["score"] <= 1 for r in odd) and "source" in odd[0].asDict()
+    untaught = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(docs(spark, ODD), {}).collect()]
+    assert sorted(map(str, untaught)) == sorted(str((i, None if any(c.isalpha() for c in t or "") else "und", 0.0)) for i, t in ODD)
+
+
+def slow_language(text, ranked, size):
+    """The out-of-place choice and score, n-gram by n-gram."""
+    count = Counter()
+    for w in "".join(c.lower() if c.isalpha() else " " for c in text or "").split():
+        for k, s in ((1, w), (2, f" {w} "), (3, f" {w} ")):
+            count.update(sum(ord(c) << 21 * (k - 1 - m) for m, c in enumerate(s[j : j + k])) for j in range(len(s) - k + 1))
+    if not count:
+        return "und", 0.0
+    own = sorted(count, key=lambda g: (-count[g], g))[:size]
+    sums = {name: sum(abs(grams.index(g) - i) if g in grams else size for i, g in enumerate(own)) for name, grams in ranked.items()}
+    best = min(sorted(sums), key=sums.get)
+    return best, 1 - sums[best] / (size * len(own))
+
+
+@pytest.mark.parametrize("most", [1 << 18, 50])
+def test_language_is_its_slow_form(spark, most, monkeypatch):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in common.table(spark, SF, "documents").limit(60).collect()]
+    rows += [(1000 + i, t, None if i % 2 else "odd") for i, (_, t) in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = language._count
+    monkeypatch.setattr(language, "_count", lambda: counted(most))
+    ranked = language.learn_profiles(df, size=80)
+    by = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            for w in "".join(c.lower() if c.isalpha() else " " for c in text).split():
+                for k, s in ((1, w), (2, f" {w} "), (3, f" {w} ")):
+                    by.setdefault(lang, Counter()).update(sum(ord(c) << 21 * (k - 1 - m) for m, c in enumerate(s[j : j + k])) for j in range(len(s) - k + 1))
+    assert ranked == {name: sorted(n, key=lambda g: (-n[g], g))[:80] for name, n in by.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df, ranked, size=80).collect()}
+    for i, text, _ in rows:
+        name, score = slow_language(text, ranked, 80)
+        assert got[i][0] == name and abs(got[i][1] - score) < 1e-12
 
 
 def test_quality_on_held_out_labels(spark):
@@ -334,6 +513,21 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out.values())
 
 
+def test_rules_as_a_column_are_the_rules_row_by_row(spark):
+    texts = [(r["doc_id"], r["text"]) for r in common.table(spark, SF, "documents").collect()] + ODD
+    d = docs(spark, texts)
+    labels = common.table(spark, SF, "labels")
+    model = quality.learn_quality(d, labels)
+    assert model.rules and len(model.rules) == len(model.weights)
+    got = sorted(r["score"] for r in quality.score_quality(d, model).collect())
+    want = []
+    for _, text in texts:
+        x = quality.statistics((text or "").encode())
+        total = model.base + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[at] > bound) == above for at, above, bound in rule))
+        want.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(got, sorted(want), atol=1e-9)
+
+
 def test_quality_without_both_labels_and_odd_texts(spark):
     d = docs(spark, ODD)
     labels = spark.createDataFrame([(1, 1), (5, 1), (5, None), (77, 0), (None, 0), (6, 9)], "doc_id long, quality int")
@@ -370,7 +564,23 @@ def test_nearest_by_permutation_index(spark):
     assert permutation_index.nearest(few, few.filter("vec_id = 0")).count() == 3
 
 
+def test_index_cases(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, rng.normal(size=4).tolist(), 1.0, "x") for i in range(300)] + [(1000 + i, rng.normal(size=n).tolist(), 2.0, "y") for i, n in enumerate((0, 3, 3, 5))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, query_id string")
+    small = permutation_index.Settings(pivots=40, prefix=10, share=1.0, segment=64, block=7)
+    path = common.scratch_path(spark, "index")
+    pivots = permutation_index.write_index(df, path, 3, small)
+    assert spark.read.parquet(path).agg(F.sum("n")).first()[0] == 300 and spark.read.parquet(path).count() >= 4
+    got = permutation_index.search_index(spark, path, pivots, df.filter("vec_id % 10 = 0"), 3, small).collect()
+    v = {r[0]: np.array(r[1]) for r in rows[:300]}
+    for q in range(0, 300, 10):
+        want = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in v if i != q)[:3]
+        assert [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    assert {r["query_id"] for r in got} == set(range(0, 300, 10))
+
+
 def test_footrule():
     order = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5]])
-    files = permutation_index.InvertedFiles(order, 6)
+    files = permutation_index.InvertedFiles.of(order, 6)
     assert files.footrule(np.array([0, 1, 2])).tolist() == [0, 4, 12]

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 
 from arborlake.llm import common
-from arborlake.llm.simhash import similar_documents
+from arborlake.llm.simhash import similar_documents, similar_rows
 from test_llm import SF
 
 
@@ -56,6 +56,16 @@ def test_pairs_at_the_bound_are_linked_and_others_left(spark, texts):
     assert got == want and 20 < sum(want[i] != i for i in range(120)) < 60
 
 
+@pytest.mark.parametrize("block", [3, 16])
+def test_groups_are_compared_in_small_blocks(spark, texts, block):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = similar_rows(df, block=block).collect()
+    least = {}
+    for r in rows:
+        least[r["component"]] = min(r["doc_id"], least.get(r["component"], r["doc_id"]))
+    assert {r["doc_id"]: least[r["component"]] for r in rows} == least_linked(texts)
+
+
 def test_near_copies_of_the_smallest_tables(spark):
     docs = common.table(spark, SF, "documents").select("doc_id", "text")
     got = dict(map(tuple, similar_documents(docs).collect()))

@@ -1,46 +1,17 @@
 """The pipeline against the same stages written plainly."""
 
-import math
 import random
 import zlib
 
 import corpus_pipeline
 import numpy as np
-import xxhash
+import pytest
 
 import public_tokenizers
 from arborlake.llm import common
 from arborlake.llm.simhash import similar_documents
-from test_llm import SF, slow_contamination
-
-
-def mixed(h, band):
-    if not band:
-        return h
-    m = (1 << 64) - 1
-    h = (h + band * 0x9E3779B97F4A7C15) & m
-    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
-    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
-    return h ^ h >> 31
-
-
-def linked(texts, words=5, bands=4):
-    prints = []
-    for text in texts:
-        w = text.encode().lower().split()
-        units = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
-        hashes = [xxhash.xxh64_intdigest(u, 42) for u in units]
-        each = [[mixed(h, b) for h in hashes] for b in range(bands)]
-        prints.append([sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in band) > len(band)) for band in each])
-    most = int(64 * bands * math.acos(1.6 / 1.8) / math.pi)
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            d = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
-            if min(d) <= 3 and sum(d) <= most and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    return root
+from test_llm import ODD, SF, slow_contamination
+from test_near_copies import least_linked
 
 
 def test_near_copies_are_found_and_others_left(spark):
@@ -71,9 +42,8 @@ def test_stages_and_run(spark, tmp_path):
         if k == 0:
             assert kept == {i: t for i, t in rows.items() if any(c.isalpha() for c in t)}
         if k == 1:
-            ids = sorted(rows)
-            root = linked([rows[i] for i in ids])
-            assert kept == {i: rows[i] for n, i in enumerate(ids) if root[n] == n} and len(kept) < len(rows)
+            root = least_linked(rows)
+            assert kept == {i: t for i, t in rows.items() if root[i] == i} and len(kept) < len(rows)
         if k == 3:
             assert kept == {i: t for i, t in rows.items() if not slow_contamination(t, items)[-1]}
         rows = kept
@@ -91,3 +61,44 @@ def test_stages_and_run(spark, tmp_path):
             assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes())
             at += length
         assert at == len(ids)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, removed string, row_key long, id_key string, lang_pred string, score double, doc_tokens long, kept_id long, hit_runs long"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    rng = random.Random(15)
+    own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(6)]
+    texts = [*ODD, (7, own[0]), (7, own[1]), (None, own[2]), (None, own[3]), (None, own[3]), (30, own[4]), (30, own[4]), (31, own[4] + " end"), (40, own[5] + " w" * 60_000)]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", 1, "k", "p", 0.5, 2, 3, 4) for i, t in texts], CLASHING)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    none = stage(spark, odd_docs.filter("false"), SF)
+    assert none.count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    out = stage(spark, odd_docs, SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()), key=str) if name != "packing" else out.collect()
+    if name == "language":
+        assert got == sorted([x for x in rows if any(c.isalpha() for c in x[1] or "")], key=str) and out.columns == odd_docs.columns
+    if name == "near_dedup":
+        own = [x for x in rows if x[0] in (7, 40) or (x[0] is None)]
+        assert set(own) <= set(got) and len(got) == len(set(got)) and (31, rows[-2][1]) not in got and (30, rows[-3][1]) in got
+        assert sum(not (t or "").split() for _, t in got) == 1 and out.columns == odd_docs.columns
+    if name == "substring_dedup":
+        assert {(i, t) for i, t in rows if not (t or "").strip()} <= set(got) and (7, rows[11][1]) in got
+        assert out.columns == [c for c in odd_docs.columns if c != "removed"]
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+    if name == "decontamination":
+        assert got == sorted(rows, key=str) and out.columns == odd_docs.columns
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {i for i, _ in rows} and sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+        assert sum(r["start"] == 0 for r in got) == len(rows)
+
+
+def test_language_with_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(1, "words here", None), (2, None, None), (3, "12 34", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()] == [1]
