@@ -24,12 +24,13 @@ def _smallest(df: DataFrame, rows: int) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, cut: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, cut: Callable[[DataFrame], DataFrame], rounds: int = 60, per_task: int = 250_000) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node.
 
     The number of rounds grows with the logarithm of the longest path.  ``cut``
     ends the lineage of a step; only a count and a sum go to the driver.  A node
-    with many neighbours is met by broadcast, as there are few of them.
+    with many neighbours is met by broadcast, as there are few of them.  A round
+    has a partition for every ``per_task`` links, so few links make few files.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     pairs, seen = cut(pairs), None
@@ -37,8 +38,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, cut: Callable[[Da
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
-        larger = cut(_largest(pairs, state[0]))
-        pairs, seen = cut(_smallest(larger, state[0])), state
+        tasks = -(-state[0] // per_task)
+        larger = cut(_largest(pairs.coalesce(tasks), state[0]).coalesce(tasks))
+        pairs, seen = cut(_smallest(larger, state[0]).coalesce(tasks)), state
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
