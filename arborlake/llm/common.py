@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which readers can prune."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -32,17 +40,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[], object]:
+    import ctypes
+
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda: None
+    return lambda: trim(0)
+
+
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker process have freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    _trim()()
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20, rows: int = 1 << 14
 ) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``text``.
 
     A single longer text forms a batch of its own, so memory follows the
-    longest text and not the number of rows in a batch.
+    longest text and not the number of rows in a batch.  What a worker process
+    has freed is given back before and after.
     """
     import numpy as np
     import pyarrow.compute as pc
 
+    give_back()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -56,6 +83,7 @@ def slices(
             to = min(max(to, at + 1), at + rows, n)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -63,3 +91,25 @@ def utf8(column: pa.Array) -> list[bytes]:
     import pyarrow.compute as pc
 
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches, "text"):
+        packed = pa.array(map(pack, utf8(batch.column(2))), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "row_key", "packed"])
+
+
+def zipped(keyed: DataFrame) -> DataFrame:
+    """Texts before a shuffle, compressed one by one: (doc_id, row_key, text) to (doc_id, row_key, packed)."""
+    return keyed.select("doc_id", "row_key", "text").mapInArrow(_zip, "doc_id long, row_key long, packed binary")
+
+
+def unzip(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a column ``packed``."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(x.as_py()) for x in column)

@@ -95,7 +95,7 @@ def _count(most: int = 1 << 18):
             names.clear()
             return out
 
-        for batch in slices(batches, "text", limit=1 << 20):
+        for batch in slices(batches, "text", limit=1 << 19):
             langs = batch.column(1).to_pylist()
             owner = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int64)
             for group, code, n in zip(*(x.tolist() for x in gram_counts(batch.column(0).to_pylist(), owner)), strict=True):
@@ -160,7 +160,7 @@ def _classify(profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in slices(batches, "text", limit=1 << 20, rows=512):
+        for batch in slices(batches, "text", limit=1 << 19, rows=512):
             at = batch.schema.get_field_index("text")
             lang, score = profiles.value.classify(pc.fill_null(batch.column(at), "").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
@@ -172,7 +172,7 @@ def _keep(profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in slices(batches, "text", limit=1 << 20, rows=512):
+        for batch in slices(batches, "text", limit=1 << 19, rows=512):
             lang, _ = profiles.value.classify(pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist())
             yield batch.filter(pa.array([x != "und" for x in lang]))
 

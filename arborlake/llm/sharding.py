@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import free_name, table
+from arborlake.llm.common import free_name, materialize, table
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def assign(docs: DataFrame, shards: list[Shard], more: list[Shard] | None = None
     equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     placed = place(equal, key, shards, "shard")
     placed = place(placed, key, more, "grown_shard") if more else placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(splits)))
+    placed = materialize(placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(splits))))
     counts = placed.groupBy("shard", "part").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # len(shards) * splits rows, a number for each part_rows rows at most

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.graph.components import connected_components
-from arborlake.llm.common import materialize, table
+from arborlake.llm.common import materialize, table, written, zipped
 from arborlake.llm.minhash import SKETCH_DDL, shingle_hashes, sketches, spanning_links
 from arborlake.llm.simhash_bits import fingerprints
 from arborlake.operators.skew import join_counted
@@ -93,50 +93,54 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands
     counted in full on 64-bit hashes, is ``similarity`` or more.
 
     In a bucket (the texts of a key) each text is compared with the first and the
-    last.  Of buckets that this leaves in several components, and of equal ones
-    among them one only, all pairs are compared that can still join components:
-    the texts outside the first one's component with those in it and with one
-    another.  They meet in tasks of two blocks of about ``block`` texts, which
-    put out links that span what they join, so neither a task nor its output
-    grows with the bucket.  ``row_key`` hashes doc_id and text.
+    last.  Where the others of a bucket are then still in several components,
+    and of equal buckets among these in one only, all pairs are compared that
+    can join components: texts outside the first one's component with those in
+    it and with one another.  They meet in tasks of two blocks of about ``block``
+    texts, which put out links that span what they join, so neither a task nor
+    its output grows with the bucket.  ``row_key`` hashes doc_id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
-    rows = materialize(keyed.mapInArrow(sketches(words, bands, order, seed), SKETCH_DDL))
-    nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
-    single = materialize(nodes.select("node", "row_key", F.explode("keys").alias("key")))
+    rows = written(keyed.mapInArrow(sketches(words, bands, order, seed), SKETCH_DDL), "sketches")
+    nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
+    single = written(nodes.select("node", F.explode("keys").alias("key")), "buckets")
     ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
-    members = materialize(join_counted(single, ends, ["key"], single.count()))
-    wanted = members.select("row_key", "node").distinct()
-    texts = keyed.join(wanted, "row_key").dropDuplicates(["node"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(shingle_hashes(words, seed), "node long, hashes array<long>"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
-        sizes = F.size("of_a"), F.size("of_b")
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        alike = (F.least(*sizes) >= similarity * F.greatest(*sizes)) & (both >= similarity * (sizes[0] + sizes[1] - both))
-        return materialize(pairs.distinct().join(side("b"), "b").join(side("a"), "a").filter(alike).select("a", "b"))
+    members = written(join_counted(single, ends, ["key"], single.count()), "members")
+    reps = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(members.select("node").distinct(), "node")
+    texts = zipped(keyed).drop("doc_id").join(reps, "row_key").dropDuplicates(["node"]).select("node", "packed")
+    sets = written(texts.mapInArrow(shingle_hashes(words, seed), "node long, size long, hashes array<long>"), "sets")
+    of = lambda c, *more: sets.select(F.col("node").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
 
     ordered = [F.least("node", end).alias("a") for end in ("low", "high")], [F.greatest("node", end).alias("b") for end in ("low", "high")]
     to_low, to_high = (members.select(a, b).filter("a < b") for a, b in zip(*ordered, strict=True))
-    links = linked(to_low.union(to_high))
+    pairs = to_low.union(to_high).distinct().join(of("a", "size"), "a").join(of("b", "size"), "b")
+    pairs = pairs.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    alike = both >= similarity * (F.col("size_a") + F.col("size_b") - both)
+    links = materialize(pairs.join(of("b", "hashes"), "b").join(of("a", "hashes"), "a").filter(alike).select("a", "b"))
+
     parts = materialize(connected_components(links, "a", "b", materialize))
     of_low = parts.select(F.col("node").alias("low"), F.col("component").alias("first"))
-    within = materialize(
-        members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .join(of_low, "low", "left").select("key", "node", (F.col("component") == F.coalesce("first", "low")).alias("inside"))
+    others = members.filter("node <> low and node <> high").join(parts, "node", "left").join(of_low, "low", "left")
+    others = written(others.select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("first", "low").alias("first")), "others")
+    inside = F.col("component") == F.col("first")
+    shape = others.groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if(inside).alias("inner"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"),
     )
-    shape = within.groupBy("key").agg(F.count("*").alias("n"), F.count_if("inside").alias("inner"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
-    shape = shape.filter("inner < n").groupBy("n", "inner", "sum", "xor").agg(F.min("key").alias("key"))
+    shape = shape.filter("c0 < c1").groupBy("n", "inner", "sum", "xor").agg(F.min("key").alias("key"))
     blocks = shape.select("key", "n", F.ceil(F.col("inner") / block).alias("ins"), F.ceil((F.col("n") - F.col("inner")) / block).alias("outs"))
-    held = join_counted(within, blocks, ["key"], within.count())
-    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)
-    with_inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ins") - 1), lambda i: F.struct(i.alias("lo"), F.col("mine").alias("hi"), F.lit(True).alias("crossed")))
-    with_outer = F.transform(others, lambda i: F.struct(F.least(i, F.col("mine")).alias("lo"), F.greatest(i, F.col("mine")).alias("hi"), F.lit(False).alias("crossed")))
-    tasks = F.when(F.col("inside"), F.transform(others, lambda i: F.struct(F.col("mine").alias("lo"), i.alias("hi"), F.lit(True).alias("crossed")))).otherwise(F.concat(with_inner, with_outer))
-    met = held.withColumn("mine", mine).select("node", "key", F.explode(tasks).alias("task"), F.when(F.col("inside"), F.lit(-1)).otherwise(F.col("mine")).alias("side"))
-    met = met.select("key", "task.lo", "task.hi", "task.crossed", "side", "node").join(sets, "node")
+    held = join_counted(others, blocks, ["key"], others.count())
+    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.when(inside, F.col("ins")).otherwise(F.col("outs")))
+    first_to = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n)
+    task = lambda lo, hi, crossed: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(crossed).alias("crossed"))
+    of_inner = F.transform(first_to(F.col("outs")), lambda i: task(F.col("mine"), i, True))
+    of_outer = F.concat(
+        F.transform(first_to(F.col("ins")), lambda i: task(i, F.col("mine"), True)),
+        F.transform(first_to(F.col("outs")), lambda i: task(F.least(i, F.col("mine")), F.greatest(i, F.col("mine")), False)),
+    )
+    met = held.withColumn("mine", mine).select("node", "key", F.explode(F.when(inside, of_inner).otherwise(of_outer)).alias("task"), F.when(inside, F.lit(-1)).otherwise(F.col("mine")).alias("side"))
+    met = met.select("key", "task.lo", "task.hi", "task.crossed", "side", "node").join(of("node", "hashes"), "node").withColumnRenamed("hashes_node", "hashes")
     one_task = ["key", "lo", "hi", "crossed"]
     compared = met.repartition(*one_task).sortWithinPartitions(*one_task, "side").mapInArrow(spanning_links(similarity), "a long, b long")
     parts = connected_components(links.union(materialize(compared)), "a", "b", materialize).withColumnRenamed("node", "member")

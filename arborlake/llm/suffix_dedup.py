@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import scratch_path, slices, table, utf8
+from arborlake.llm.common import scratch_path, slices, table, unzip, utf8, zipped
 from arborlake.llm.lcp_merge import common_prefix, front_code, front_decode, merge, sorted_run
 from arborlake.llm.words import mix
 from arborlake.operators.skew import join_counted
@@ -113,27 +113,6 @@ def _anchor_rows(length: int, span: int):
     return run
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts before a shuffle, compressed one by one: (doc_id, row_key, text) to (doc_id, row_key, packed)."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in slices(batches, "text"):
-        packed = pa.array(map(pack, utf8(batch.column(2))), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "row_key", "packed"])
-
-
-def _unzip(column: pa.Array) -> Iterator[bytes]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    return (unpack(x.as_py()) for x in column)
-
-
-def zipped(keyed: DataFrame) -> DataFrame:
-    return keyed.select("doc_id", "row_key", "text").mapInArrow(_zip, "doc_id long, row_key long, packed binary")
-
-
 def _parts(sizes: list[int], most: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive texts of at most ``most`` bytes, or one longer text."""
     first = total = 0
@@ -184,7 +163,7 @@ def _runs(length: int, span: int, buckets: int, flush: int = 48 << 20):
 
         for batch in batches:
             picks = batch.column(2).to_pylist()
-            for row_key, text, mine in zip(batch.column(0).to_pylist(), _unzip(batch.column(1)), picks, strict=True):
+            for row_key, text, mine in zip(batch.column(0).to_pylist(), unzip(batch.column(1)), picks, strict=True):
                 for x in mine:
                     p, lo, hi = x["p"], x["lo"], x["hi"]
                     if x["hot"]:
@@ -298,7 +277,7 @@ def joined(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = _unzip(batch.column(1)), batch.column(2).to_pylist()
+        texts, spans = unzip(batch.column(1)), batch.column(2).to_pylist()
         out: list[tuple] = []
         for text, mine in zip(texts, spans, strict=True):
             kept, gone, at, last = [], 0, 0, None

@@ -3,9 +3,10 @@
 A text is cut before each single blank that follows a non-blank character.
 The byte-level pattern never matches across such a place (a match that holds a
 blank starts with it, and its only context is a look-ahead), so the ids of the
-pieces, one after the other, are the ids of the text.  Pieces repeat, so their
-ids are kept in a bounded table; a piece of plain Latin letters goes straight
-to the BPE model, any other through the full encoder.
+pieces, one after the other, are the ids of the text.  The same holds around a
+single line feed between other characters, and before marks that end a word.
+Pieces repeat, so their ids are kept in a bounded table; a word of plain Latin
+letters goes straight to the BPE model, any other piece through the full encoder.
 
 That holds only for a byte-level BPE without normalizer, prefix blank, dropout
 or word affixes, which is checked when the file is loaded; any other tokenizer
@@ -16,8 +17,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
+MARKS = ".,;:!?"
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -31,7 +35,14 @@ def byte_alphabet() -> dict[int, str]:
 
 def _word(piece: str) -> bool:
     """Letters only, all below U+0250, where every Unicode version agrees on letters."""
-    return piece.isalpha() and max(piece) < "\u0250"
+    return piece.isalpha() and (piece.isascii() or max(piece) < "\u0250")
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def cuts_at_blanks(settings: dict) -> bool:
@@ -53,46 +64,65 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         owner = self.owner
-        tail = owner.marks.get(piece[-1:])
-        if tail is not None and _word(piece[:-1]):
-            ids = self[piece[:-1]] + tail
-        elif _word(piece):
+        if _word(piece):
             ids = owner.model_ids(self.lead + piece)
         else:
-            ids = owner.full_ids(self.lead + piece)
+            word = piece.rstrip(MARKS)
+            if word != piece and _word(word):
+                ids = self[word] + owner.marks[piece[len(word) :]]
+            else:
+                line, _, rest = piece.partition("\n")
+                if line and rest and not line[-1].isspace() and not rest[0].isspace():
+                    return self[line] + owner.newline + owner.first[rest]
+                ids = owner.full_ids(self.lead + piece)
         if len(self) < self.limit and len(piece) <= 64:
             self[piece] = ids
         return ids
 
 
+class _Marks(dict):
+    """Run of ``MARKS`` -> its ids."""
+
+    def __init__(self, owner: TextEncoder, limit: int = 10_000):
+        super().__init__()
+        self.owner, self.limit = owner, limit
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.owner.full_ids(run)
+        if len(self) < self.limit and len(run) <= 64:
+            self[run] = ids
+        return ids
+
+
 class TextEncoder:
     def __init__(self, path: str, limit: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self._np = np
         self._tokenizer = Tokenizer.from_file(path)
         settings = json.loads(self._tokenizer.to_str())
         self.piecewise = cuts_at_blanks(settings)
         added = [t["content"] for t in settings["added_tokens"]]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        self._model = self._tokenizer.model
-        self._spell = {b: c for b, c in byte_alphabet().items()}
-        self.marks: dict[str, bytes] = {}
-        if self.piecewise:
-            self.marks = {c: self.full_ids(c) for c in ".,;:!?"}
-        self._first, self._rest = _Pieces(self, "", limit // 10), _Pieces(self, " ", limit)
+        self._tokenize = self._tokenizer.model.tokenize
+        self._spell = byte_alphabet()
+        self._blank = self._spell[32]
+        self.newline = self.full_ids("\n")
+        self.marks = _Marks(self)
+        self.first, self._rest = _Pieces(self, "", limit // 4), _Pieces(self, " ", limit)
 
     def full_ids(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return self._np.array(ids, dtype="<u4").tobytes()
+        return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def model_ids(self, piece: str) -> bytes:
-        spelled = "".join(map(self._spell.__getitem__, piece.encode()))
-        return self._np.array([t.id for t in self._model.tokenize(spelled)], dtype="<u4").tobytes()
+        """Ids of a word of letters, with a blank before it or none."""
+        if piece.isascii():
+            spelled = piece.replace(" ", self._blank, 1)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self._spell)
+        return _bytes([t.id for t in self._tokenize(spelled)])
 
     def encode(self, text: str | None) -> bytes:
         """All ids of ``text`` as little-endian uint32 bytes; null is empty."""
@@ -101,7 +131,7 @@ class TextEncoder:
         if not self.piecewise or (self._added and self._added.search(text)):
             return self.full_ids(text)
         pieces = _CUT.split(text) if _RUN.search(text) else text.split(" ")
-        head = self._first[pieces[0]] if pieces[0] else b""
+        head = self.first[pieces[0]] if pieces[0] else b""
         if not pieces[0]:  # the text starts with a blank: what follows is a piece with its blank
             return b"".join(map(self._rest.__getitem__, pieces[1:]))
         return head + b"".join(map(self._rest.__getitem__, pieces[1:]))

@@ -40,8 +40,8 @@ def plain_tokenizer():
 def test_piecewise_ids_are_the_ids_of_the_text(plain_tokenizer):
     rng = random.Random(1)
     mine = tokenization.TextEncoder(BPE, limit=50)
-    parts = ["the", " ", "  ", "\n", "\t", " \n ", "don't", "Öl", "x.", "12", "ǅ", "ʼ", "¿que?", "\x1c", " ", "日本", "a,b", "!?", "<|endoftext|>"]
-    for _ in range(400):
+    parts = ["the", " ", "  ", "\n", "\t", " \n ", "don't", "Öl", "x.", "12", "ǅ", "ʼ", "¿que?", "\x1c", " ", "日本", "a,b", "!?", "<|endoftext|>", "end.\nNext", "\nline", "stop!!", ",", ".\n", "\r", "\u3000", "\x85", "12.\n12", "'s"]
+    for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == plain_tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
