@@ -5,6 +5,9 @@ Pools are bounded (200 of a network at most), so a network's pairs are too.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,29 +69,43 @@ def tie_bands(df: DataFrame, by: list[str], order: str = "place", mu: str = "mu"
     return df.withColumn("tied", close(lambda c: F.lag(c).over(w)) | close(lambda c: F.lead(c).over(w)))
 
 
+def normal_cdf(x: np.ndarray, step: float = 1 / 256, edge: float = 10.0) -> np.ndarray:
+    """The normal distribution by cubic interpolation of a table with its slopes; the error is under 1e-12."""
+    grid, cdf, slope = _cdf_table(step, edge)
+    x = np.clip(x, -edge, edge)
+    at = np.minimum(((x + edge) / step).astype(np.int64), len(grid) - 2)
+    t = (x - grid[at]) / step
+    low, high, left, right = cdf[at], cdf[at + 1], slope[at] * step, slope[at + 1] * step
+    return low + t * (left + t * (3 * (high - low) - 2 * left - right + t * (2 * (low - high) + left + right)))
+
+
+@lru_cache(maxsize=2)
+def _cdf_table(step: float, edge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    grid = -edge + step * np.arange(int(2 * edge / step) + 2)
+    cdf = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in grid])
+    return grid, cdf, np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
+
+
 def rank_distribution(mu: np.ndarray, sd: np.ndarray, panels: int = 48) -> np.ndarray:
     """P(rank of i is r + 1) by integrating a Poisson-binomial over i's own value."""
-    from math import erfc, sqrt
-
     n = len(mu)
     nodes, weights = np.polynomial.legendre.leggauss(8)
     edges = np.linspace(-8, 8, panels + 1)
     half = (edges[1] - edges[0]) / 2
     z = (edges[:-1, None] + half + half * nodes).ravel()
     w = np.tile(weights * half, panels) * np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
-    phi = np.vectorize(lambda x: 0.5 * erfc(-x / sqrt(2)), otypes=[float])
     out = np.zeros((n, n))
     for i in range(n):
-        x = mu[i] + sd[i] * z
-        dist = np.zeros((len(z), n))
-        dist[:, 0] = 1
-        for m, j in enumerate(j for j in range(n) if j != i):  # ranks beyond m + 1 are still empty
-            better = phi((mu[j] - x) / sd[j])[:, None]
-            now = dist[:, : m + 2]
-            moved = now[:, :-1] * better
-            now *= 1 - better
-            now[:, 1:] += moved
-        out[i] = w @ dist
+        others = np.flatnonzero(np.arange(n) != i)
+        better = normal_cdf((mu[others, None] - (mu[i] + sd[i] * z)) / sd[others, None])
+        dist = np.zeros((n, len(z)))
+        dist[0] = 1
+        for m, p in enumerate(better):  # ranks beyond m + 1 are still empty
+            now = dist[: m + 2]
+            moved = now[:-1] * p
+            now *= 1 - p
+            now[1:] += moved
+        out[i] = dist @ w
     return out / out.sum(axis=1, keepdims=True)
 
 

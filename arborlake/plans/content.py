@@ -10,6 +10,7 @@ from arborlake.functions.numeric import lit, log_norm, win_probability
 from arborlake.graph import clustering
 from arborlake.graph.pagerank import pagerank
 from arborlake.operators import store
+from arborlake.operators.evaluation import pair_auc
 from arborlake.plans.core import Catalog, r6, sql_cdf, sql_log_norm
 from arborlake.session import checkpointed
 from arborlake.sources import bindings as B
@@ -362,13 +363,8 @@ def e9(spark, sf):
 @catalog.add("e18_same_label_auc", "WITH p AS (SELECT a.label = b.label AS same, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), r AS (SELECT same, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM p) SELECT round((sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 4) AS auc FROM r")
 def e18(spark, sf):
     """Whether vectors of one label are nearer: AUC of pair cosines, by counts of equal values."""
-    e = T(spark, sf, "embeddings")
-    b = e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("w"), F.col("label").alias("l2"))
-    pairs = e.join(b, F.col("vec_id") < F.col("o")).select((F.col("label") == F.col("l2")).alias("same"), r6(vectors.dot(F.col("embedding"), F.col("w"))).alias("s"))
-    by_value = pairs.groupBy("s").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
-    low = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))  # one row for each value of the cosine at six places
-    won = by_value.select("p", "n", (F.col("p") * (F.coalesce(low, F.lit(0)) + F.col("n") / 2.0)).alias("w"))
-    return won.agg(F.round(F.sum("w") / (F.sum("p") * F.sum("n")), 4).alias("auc"))
+    points = T(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return pair_auc(clustering.pair_values(points), "value", checkpointed).select(F.round("auc", 4).alias("auc"))
 
 
 @catalog.add("j15_sibling_similarity", "SELECT a.vec_id, round(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS best FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")

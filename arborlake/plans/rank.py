@@ -10,17 +10,21 @@ from arborlake.operators import evaluation as E
 from arborlake.operators import ranking as R
 from arborlake.plans.core import Catalog, r6, sql_cdf
 from arborlake.plans.heat import NET, TRUST_SQL, trusted
+from arborlake.session import checkpointed
 from arborlake.sources import bindings as B
 
 catalog = Catalog()
-CAP = 40
+CAP = R.POOL_CAP
 
 
 def pool(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    """The best forks of each network with mu and sd; the tier is bound to the id."""
+    """The best forks of each network with mu and sd; the tier is bound to the id.
+
+    A pool is small and its scores are dear, so it is made once.
+    """
     df = trusted(spark, sf).withColumn("heat", r6(F.col("score")))
     df = R.pool(df, NET, cap=cap)
-    return df.select("segment", "fork_id", "idx", F.col("heat").alias("mu"), N.sigma(N.tier_confidence(F.col("fork_id") % 3 + 1)).alias("sd"))
+    return checkpointed(df.select("segment", "fork_id", "idx", F.col("heat").alias("mu"), N.sigma(N.tier_confidence(F.col("fork_id") % 3 + 1)).alias("sd")))
 
 
 POOL_SQL = f"""{TRUST_SQL}, pool AS (SELECT segment, fork_id, idx, heat AS mu, greatest(10 * (1 - CASE fork_id % 3 + 1 WHEN 2 THEN 0.7 WHEN 3 THEN 0.9 ELSE 0.3 END), 1e-6)::DOUBLE AS sd FROM (
@@ -149,7 +153,8 @@ def a19(spark, sf):
 
 @catalog.add("j14_pair_auc", f"WITH {J} SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 6) AS auc FROM judged p JOIN judged n ON p.positive AND NOT n.positive")
 def j14(spark, sf):
-    return E.roc_auc(B.judged(spark, sf).withColumn("all", F.lit(1)), ["all"], "score", "positive").select(r6(F.col("auc")).alias("auc"))
+    by_value = B.judged(spark, sf).groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    return E.pair_auc(by_value, "score", checkpointed).select(r6(F.col("auc")).alias("auc"))
 
 
 @catalog.add("a20_precision_at_k", f"WITH {J}, p AS (SELECT 'score' AS policy, id, score, positive FROM judged UNION ALL SELECT 'novelty', id, novelty, positive FROM judged UNION ALL SELECT 'mixed', id, score * novelty, positive FROM judged), t AS (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY round(score, 6) DESC, id) AS nth FROM p) SELECT policy, round(count(*) FILTER (positive) / 10.0, 6)::DOUBLE AS precision, string_agg(id::VARCHAR, ',' ORDER BY nth) AS top_ids FROM t WHERE nth <= 10 GROUP BY policy")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from arborlake.operators import branches as BR
 from arborlake.operators import decisions, store
 from arborlake.operators.behaviour import has_co_author
+from arborlake.operators.order import running
+from arborlake.operators.skew import join_counted
 from arborlake.plans.core import Catalog, r6
+from arborlake.session import checkpointed
 from arborlake.sources import bindings as B
 
 catalog = Catalog()
@@ -168,10 +171,10 @@ def k6(spark, sf):
     return df.select("fork_id", "t2.ahead", "t2.behind")
 
 
-@catalog.add("k7_guarded_embedding_upsert", f"WITH {DOCS_SQL}, {EMB_SQL}, inc AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN digest ELSE 'gone' END AS digest, 'm0' AS model FROM docs WHERE doc_id < 600), ok AS (SELECT i.* FROM inc i JOIN docs d ON d.doc_id = i.doc_id AND d.digest = i.digest) SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, coalesce(o.digest, e.digest) AS digest, coalesce(e.model, o.model) AS model FROM emb e FULL OUTER JOIN ok o ON o.doc_id = e.doc_id AND o.model = e.model")
+@catalog.add("k7_guarded_embedding_upsert", f"WITH {DOCS_SQL}, {EMB_SQL}, inc AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN digest ELSE 'gone' END AS digest, 'm0' AS model FROM docs), ok AS (SELECT i.* FROM inc i JOIN docs d ON d.doc_id = i.doc_id AND d.digest = i.digest) SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, coalesce(o.digest, e.digest) AS digest, coalesce(e.model, o.model) AS model FROM emb e FULL OUTER JOIN ok o ON o.doc_id = e.doc_id AND o.model = e.model")
 def k7(spark, sf):
     d = docs(spark, sf)
-    inc = d.filter("doc_id < 600").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("digest")).otherwise("gone").alias("digest"), F.lit("m0").alias("model"))
+    inc = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("digest")).otherwise("gone").alias("digest"), F.lit("m0").alias("model"))
     return store.guarded_upsert(emb(spark, sf), inc, d, ["doc_id", "model"], "digest")
 
 
@@ -491,16 +494,17 @@ def w7(spark, sf):
     return groups(spark, sf).filter("size >= 2").select("doc_id", (F.col("doc_id") == F.col("first_id")).alias("is_primary"))
 
 
-@catalog.add("w8_gather_groups", f"WITH {GROUP_SQL} SELECT doc_id FROM g ORDER BY first_id, doc_id LIMIT 300")
+@catalog.add("w8_gather_groups", f"WITH {GROUP_SQL} SELECT doc_id, row_number() OVER (ORDER BY first_id, doc_id) AS position FROM g")
 def w8(spark, sf):
-    return groups(spark, sf).orderBy("first_id", "doc_id").limit(300).select("doc_id")
+    rows = groups(spark, sf).select("first_id", "doc_id", F.lit(1).alias("one"))
+    return running(rows, ["first_id", "doc_id"], "one", "before", checkpointed).select("doc_id", (F.col("before") + 1).alias("position"))
 
 
 @catalog.add("w9_gutter_ordinals", f"WITH {GROUP_SQL} SELECT doc_id, dense_rank() OVER (ORDER BY first_id) AS ordinal FROM g WHERE size >= 2")
 def w9(spark, sf):
     multi = groups(spark, sf).filter("size >= 2")
-    numbered = multi.select("first_id").distinct().select("first_id", F.row_number().over(Window.orderBy("first_id")).cast("long").alias("ordinal"))
-    return multi.join(numbered, "first_id").select("doc_id", "ordinal")
+    firsts = running(multi.select("first_id", F.lit(1).alias("one")).distinct(), ["first_id"], "one", "before", checkpointed)
+    return multi.join(firsts, "first_id").select("doc_id", (F.col("before") + 1).alias("ordinal"))
 
 
 @catalog.add("a31_dedup_counts", "SELECT count(*) - count(DISTINCT lower(p_name)) AS duplicates FROM part")
@@ -581,9 +585,12 @@ def d10(spark, sf):
 @catalog.add("d14_cluster_peers", "SELECT vec_id, peer, nth FROM (SELECT a.vec_id, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) AS nth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE nth <= 5")
 def d14(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id", "label")
-    peers = e.join(e.select(F.col("vec_id").alias("peer"), "label"), "label").filter("vec_id <> peer")
-    w = Window.partitionBy("vec_id").orderBy(F.desc("peer"))
-    return peers.withColumn("nth", F.row_number().over(w).cast("long")).filter("nth <= 5").select("vec_id", "peer", "nth")
+    last = e.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("vec_id")))).filter("nth <= 6")
+    last = last.groupBy("label").agg(F.sort_array(F.collect_list("vec_id"), asc=False).alias("last"))
+    counts = e.groupBy("label").agg(F.count("*").alias("n"))
+    rows = join_counted(e, last.join(counts, "label"), ["label"], e.count())
+    peers = F.slice(F.filter("last", lambda x: x != F.col("vec_id")), 1, 5)
+    return rows.select("vec_id", F.posexplode(peers).alias("at", "peer")).select("vec_id", "peer", (F.col("at") + 1).cast("long").alias("nth"))
 
 
 @catalog.add("d15_line_window", "SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(1, 3 - 1):3 + 1], '|') AS lines FROM documents")

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.graph.clustering import cluster
+from arborlake.graph.clustering import cluster, pair_values
 from arborlake.graph.components import connected_components
 from arborlake.graph.pagerank import pagerank
 from arborlake.operators import branches, decisions, ranking, scoring, store
+from arborlake.operators.evaluation import pair_auc
+from arborlake.operators.order import running
 from arborlake.operators.skew import join_counted
 from arborlake.session import checkpointed
 from arborlake.sources import diffs
@@ -125,6 +127,33 @@ def test_join_counted_splits_hot_keys(spark):
     assert sorted(map(tuple, got)) == sorted((1 if i < 700 else i, i, top[1 if i < 700 else i]) for i in range(999))
 
 
+def test_running_sums_over_ranges(spark):
+    rows = [(i * 7 % 500, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = running(df, ["k"], "v", "before", checkpointed).collect()
+    at = {k: v for k, v in rows}
+    assert {r["k"]: r["before"] for r in got} == {k: sum(at[j] for j in range(k)) for k in at}
+    assert running(df.filter("false"), ["k"], "v", "before", checkpointed).count() == 0
+
+
+def test_pair_values_and_auc(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(60)], "id long, vec array<double>, label int")
+    got = pair_auc(pair_values(df, block=16), "value", checkpointed).first()["auc"]
+    pairs = [(round(float(v[i] @ v[j]), 6), label[i] == label[j]) for i in range(60) for j in range(i)]
+    p, n = [s for s, same in pairs if same], [s for s, same in pairs if not same]
+    assert got == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in p for b in n]), abs=1e-9)
+
+
+def test_normal_cdf():
+    x = np.linspace(-12, 12, 4001)
+    want = np.array([0.5 * math.erfc(-min(10, max(-10, t)) / math.sqrt(2)) for t in x])
+    assert np.abs(ranking.normal_cdf(x) - want).max() < 1e-11
+
+
 def test_clusters_and_noise(spark):
     pts = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.96, 0.28]), (4, [0.0, 1.0]), (5, [-1.0, 0.0])]
     df = spark.createDataFrame(pts, "id long, vec array<float>")
