@@ -59,14 +59,14 @@ def file_facts(files: DataFrame, by: str = "fork_id") -> DataFrame:
     """Sums over a fork's changed files."""
     kind = file_class(F.col("path"))
     df = files.withColumn("kind", kind).withColumn("w", class_weight(kind))
+    df = df.withColumn("changed", F.col("additions") + F.col("deletions"))
     a, d, w = F.col("additions"), F.col("deletions"), F.col("w")
-    lines = F.sort_array(F.collect_list(a + d))
     return df.groupBy(by).agg(
         F.count("*").alias("n_files"), F.floor(F.greatest(lit(0), F.sum((a - d) * w))).cast("long").alias("mna"),
         F.sum(F.floor(F.greatest(a - d, F.lit(0)) * w)).cast("long").alias("mna_by_file"), F.avg((F.col("kind") != "source").cast("double")).alias("junk_ratio"),
         F.sum(a * w).alias("weighted_additions"), F.sum(a).alias("additions"), F.sum(d * w).alias("weighted_deletions"), F.sum(d).alias("deletions"),
         F.count_distinct(parent_dir(F.col("path"))).alias("dirs"), F.avg(type_weight(F.col("path"), F.col("kind"))).alias("type_weight"),
-        F.element_at(lines, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median_lines"),
+        F.expr("percentile_disc(0.5) within group (order by changed desc)").cast("long").alias("median_lines"),  # the upper one, from counts by value
     )
 
 

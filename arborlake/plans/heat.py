@@ -257,15 +257,17 @@ def m9(spark, sf):
 
 
 H2_SQL = f"""{FACTS_SQL}, side AS (SELECT fork_id, count(*) FILTER (flag = 'R') AS ahead, count(*) FILTER (flag = 'A') AS behind FROM files GROUP BY fork_id),
-t2 AS (SELECT fork_id, mna, ahead, behind, {sql_log_norm("mna", 20000)} * 15 * h AS mna_pts, ahead / (ahead + sqrt(behind) + 1) * 15 * h AS sync_pts, (1 - junk_ratio) * 10 * h AS feature_pts
-  FROM (SELECT *, CASE WHEN junk_ratio > 0.9 THEN 0.5 ELSE 1 END AS h FROM facts JOIN side USING (fork_id)))"""
+own AS (SELECT o_custkey AS fork_id, avg((o_orderpriority <> '3-MEDIUM')::INT) AS feature_ratio FROM orders GROUP BY o_custkey),
+t2 AS (SELECT fork_id, mna, ahead, behind, {sql_log_norm("mna", 20000)} * 15 * h AS mna_pts, ahead / (ahead + sqrt(behind) + 1) * 15 * h AS sync_pts, coalesce(own.feature_ratio, 0) * 10 * h AS feature_pts
+  FROM (SELECT *, CASE WHEN junk_ratio > 0.9 THEN 0.5 ELSE 1 END AS h FROM facts JOIN side USING (fork_id)) LEFT JOIN own USING (fork_id))"""
 
 
 def tier2(spark: SparkSession, sf: str) -> DataFrame:
     files = B.files(spark, sf)
     side = files.groupBy("fork_id").agg(F.count_if(F.col("flag") == "R").alias("ahead"), F.count_if(F.col("flag") == "A").alias("behind"))
-    df = behaviour.file_facts(files).join(side, "fork_id")
-    points = scoring.tier2_points(F.col("mna"), F.col("ahead"), F.col("behind"), 1 - F.col("junk_ratio"), F.col("junk_ratio") > 0.9)
+    own = behaviour.commit_facts(B.fork_commits(spark, sf)).select("fork_id", "feature_ratio")
+    df = behaviour.file_facts(files).join(side, "fork_id").join(own, "fork_id", "left")
+    points = scoring.tier2_points(F.col("mna"), F.col("ahead"), F.col("behind"), F.coalesce("feature_ratio", F.lit(0.0)), F.col("junk_ratio") > 0.9)
     return df.withColumns({f"p_{k}": v for k, v in points.items()} | {"t2": scoring.tier_score(points, 2)})
 
 
@@ -274,23 +276,18 @@ def h2(spark, sf):
     return tier2(spark, sf).select("fork_id", *(r6(F.col(f"p_{k}")).alias(k) for k in ("mna", "sync_ratio", "feature_ratio")), r6(F.col("t2")).alias("t2"))
 
 
-@catalog.add("h14_rescore", f"WITH {T1_SQL}, {H2_SQL} SELECT fork_id, CASE WHEN t2.fork_id IS NULL THEN 1 ELSE 2 END AS tier, round(t1 + coalesce(least(40, mna_pts + sync_pts + feature_pts), 0), 6) AS score FROM tier1 LEFT JOIN t2 USING (fork_id)".replace("CASE WHEN t2.fork_id IS NULL", "CASE WHEN t2.mna_pts IS NULL"))
-def h14(spark, sf):
-    df = tier1(spark, sf).join(tier2(spark, sf).select("fork_id", "t2"), "fork_id", "left")
-    return df.select("fork_id", F.when(F.col("t2").isNull(), 1).otherwise(2).alias("tier"), r6(F.col("t1") + F.coalesce("t2", F.lit(0.0))).alias("score"))
-
-
 # commits ------------------------------------------------------------------------------------
 
 MERGE_SQL = "regexp_matches(lower(line), '^(merge branch|merge pull request|merge remote-tracking|sync with upstream|sync upstream|revert \"merge)')"
 FEATURE_SQL = "(NOT regexp_matches(line, '(?i)^(fix typo|update readme|bump version|initial commit|wip|todo|temp|test commit|merge (pull request|branch))') AND regexp_matches(line, '(?i)(^(add|implement|create|introduce|support|enable|new|build|design|integrate)\\b|^feat(\\(|:|\\s)|\\b(feature|enhancement|capability|module|integration)\\b)'))"
 MESSAGES = "CASE doc_id % 9 WHEN 0 THEN 'Add ' || message WHEN 1 THEN 'Merge branch main' WHEN 2 THEN 'feat: ' || message WHEN 3 THEN 'Revert the change' WHEN 4 THEN 'wip' ELSE message END"
-COMMIT_SQL = f"""{B.COMMITS_SQL}, lines AS (SELECT fork_id, doc_id, author, "at", text, trim({MESSAGES}) AS line FROM commits),
-told AS (SELECT *, {MERGE_SQL} AS is_merge, {FEATURE_SQL} AS feature FROM lines),
+TOLD_SQL = f"""told AS (SELECT *, {MERGE_SQL} AS is_merge, {FEATURE_SQL} AS feature FROM lines),
 cfacts AS (SELECT fork_id, count(*) AS n_commits, count(*) FILTER (NOT is_merge) AS meaningful, avg((NOT is_merge)::INT) AS feature_ratio, count(DISTINCT author) AS authors,
   CASE WHEN count(*) FILTER (NOT is_merge) < 2 THEN 0 ELSE (epoch_us(max("at") FILTER (NOT is_merge)) - epoch_us(min("at") FILTER (NOT is_merge))) / 86400000000.0::DOUBLE END AS span_days,
   least(1, sum(CASE WHEN strlen(line) < 10 OR is_merge THEN 0 WHEN feature THEN 2 WHEN strlen(line) >= 20 THEN 1 ELSE 0 END) / (2.0::DOUBLE * count(*))) AS quality,
-  count(*) FILTER (starts_with(lower(line), 'revert ')) AS reverts FROM told GROUP BY fork_id)"""
+  count(*) FILTER (starts_with(lower(line), 'revert ')) AS reverts, bool_or(regexp_matches(text, '(?im)^co-authored-by:')) AS co FROM told GROUP BY fork_id)"""
+COMMIT_SQL = f"""{B.COMMITS_SQL}, lines AS (SELECT fork_id, doc_id, author, "at", text, trim({MESSAGES}) AS line FROM commits), {TOLD_SQL}"""
+FORK_COMMIT_SQL = f"{B.FORK_COMMITS_SQL}, lines AS (SELECT * FROM fork_commits), {TOLD_SQL}"
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,11 +319,11 @@ def m8(spark, sf):
     return behaviour.commit_facts(messages(spark, sf)).select("fork_id", r6(N.span_multiplier(F.col("span_days"))).alias("factor"))
 
 
-WOLF_SQL = f"""{T1_SQL}, {FACTS_SQL}, wolf AS (SELECT *, meaningful <= 2 AND mna >= 200 AND n_files >= 5 AS squash FROM (
-  SELECT f.fork_id, n_files, mna, dirs, type_weight, median_lines, days / 100 AS dsp, 1 + f.fork_id % 2 AS humans, f.fork_id % 7 = 0 AS co, t.stars AS meaningful, f.fork_id % 4 AS reverts, (f.fork_id % 40)::DOUBLE AS span_days, (f.fork_id % 10) / 10.0::DOUBLE AS quality
-  FROM facts f JOIN tier1 t USING (fork_id))),
+WOLF_SQL = f"""{T1_SQL}, {FACTS_SQL}, {FORK_COMMIT_SQL}, wolf AS (SELECT *, meaningful <= 2 AND mna >= 200 AND n_files >= 5 AS squash FROM (
+  SELECT f.fork_id, n_files, mna, dirs, type_weight, median_lines, days AS dsp, authors AS humans, co, meaningful, reverts, span_days, quality
+  FROM facts f JOIN tier1 t USING (fork_id) JOIN cfacts USING (fork_id))),
 w2 AS (SELECT *, humans = 1 AND NOT co AND meaningful >= (CASE WHEN squash THEN 1 ELSE 3 END) AND mna >= 300 AS ok, least(dirs / 10.0::DOUBLE, 1) * CASE WHEN median_lines < 3 THEN 0.3 ELSE 1 END AS spread,
-  {sql_log_norm("(mna / greatest(meaningful, 1))", 500)} AS density, least(ln(1.0::DOUBLE + meaningful) / ln(21.0::DOUBLE), 1) AS pers, reverts / meaningful AS rr FROM wolf),
+  {sql_log_norm("(mna / greatest(meaningful, 1))", 500)} AS density, least(ln(1.0::DOUBLE + meaningful) / ln(21.0::DOUBLE), 1) AS pers, coalesce(reverts / nullif(meaningful, 0)::DOUBLE, 0) AS rr FROM wolf),
 w3 AS (SELECT *, least(spread * type_weight * (CASE WHEN squash THEN least(density * 1.5, 1) ELSE density END) * 0.5 + (CASE WHEN rr > 0.25 THEN pers * (1 - rr) ELSE pers END) * 0.3 + {sql_decay("dsp", "30")} * 0.2, 1) AS base FROM w2),
 w4 AS (SELECT *, CASE WHEN ok THEN greatest(0, least(1, least(base + 0.15 * quality, 1) * CASE WHEN span_days < 1 THEN 0.7 WHEN span_days > 14 THEN 1.2 ELSE 0.7 + 0.3 * (span_days - 1) / 13 END)) ELSE 0 END AS strength FROM w3),
 wolves AS (SELECT *, strength > 0 AS detected, CASE WHEN NOT ok THEN 'none' WHEN meaningful <= 2 AND mna < 1000 THEN 'Sniper' WHEN meaningful >= 20 AND mna >= 5000 AND n_files >= 20 THEN 'Drifter'
@@ -334,11 +331,11 @@ wolves AS (SELECT *, strength > 0 AS detected, CASE WHEN NOT ok THEN 'none' WHEN
 
 
 def wolves(spark: SparkSession, sf: str) -> DataFrame:
+    """The detector on the facts of each fork's files and commits."""
     facts = behaviour.file_facts(B.files(spark, sf)).select("fork_id", "n_files", "mna", "dirs", "type_weight", "median_lines")
-    key = F.col("fork_id")
-    t1 = tier1(spark, sf).select("fork_id", (F.col("days") / 100).alias("days_since_push"), F.col("stars").alias("meaningful"))
-    df = facts.join(t1, "fork_id").withColumns({"humans": 1 + key % 2, "co_authored": key % 7 == 0, "reverts": key % 4, "span_days": (key % 40).cast("double"), "message_quality": (key % 10) / 10.0})
-    return behaviour.lone_wolf(df)
+    commits = behaviour.commit_facts(B.fork_commits(spark, sf)).withColumnRenamed("authors", "humans")
+    pushed = tier1(spark, sf).select("fork_id", F.col("days").alias("days_since_push"))
+    return behaviour.lone_wolf(facts.join(commits, "fork_id").join(pushed, "fork_id"))
 
 
 @catalog.add("h8_lone_wolf", f"WITH {WOLF_SQL} SELECT fork_id, detected, squash, round(strength, 6) AS strength FROM wolves")
@@ -357,6 +354,20 @@ def h3(spark, sf):
     return wolves(spark, sf).select("fork_id", *(r6(v).alias(k) for k, v in points.items()), r6(scoring.tier_score(points, 3)).alias("t3"))
 
 
+H14_SQL = f"""{WOLF_SQL}, {H2_SQL.replace(FACTS_SQL + ",", "")}, t3 AS (SELECT fork_id, least(20, least(CASE WHEN detected THEN strength * 7 * CASE WHEN archetype = 'Drifter' THEN 0.8 ELSE 1 END ELSE 0 END, 7) + {sql_log_norm("floor(span_days)", 180)} * 8) AS t3 FROM wolves)"""
+
+
+@catalog.add("h14_rescore", f"WITH {H14_SQL} SELECT fork_id, CASE WHEN t3 IS NOT NULL THEN 3 WHEN mna_pts IS NOT NULL THEN 2 ELSE 1 END AS tier, round(t1 + coalesce(least(40, mna_pts + sync_pts + feature_pts), 0) + coalesce(t3, 0), 6) AS score FROM tier1 LEFT JOIN t2 USING (fork_id) LEFT JOIN t3 USING (fork_id)")
+def h14(spark, sf):
+    """All tiers: changes with the share of feature commits, the detector and whole days of work where there are commits."""
+    wolf = wolves(spark, sf)
+    points = scoring.tier3_points(F.col("detected"), F.col("strength"), F.col("archetype"), F.floor("span_days").cast("double"), F.lit(0.0))
+    third = wolf.select("fork_id", scoring.tier_score(points, 3).alias("t3"))
+    df = tier1(spark, sf).join(tier2(spark, sf).select("fork_id", "t2"), "fork_id", "left").join(third, "fork_id", "left")
+    tier = F.when(F.col("t3").isNotNull(), 3).when(F.col("t2").isNotNull(), 2).otherwise(1)
+    return df.select("fork_id", tier.alias("tier"), r6(F.col("t1") + F.coalesce("t2", F.lit(0.0)) + F.coalesce("t3", F.lit(0.0))).alias("score"))
+
+
 # momentum -----------------------------------------------------------------------------------
 
 TODAY = "2024-01-30"

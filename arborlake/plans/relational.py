@@ -307,11 +307,11 @@ def b7(spark, sf):
     return df.withColumn("nth", F.row_number().over(w)).filter("nth <= 100").select("o_orderkey")
 
 
-@catalog.add("b8_owner_profile_cap", "SELECT segment, owner FROM (SELECT c_mktsegment AS segment, c_nationkey AS owner, max(c_acctbal) AS b FROM customer GROUP BY ALL) QUALIFY dense_rank() OVER (PARTITION BY segment ORDER BY b DESC, owner) <= 10")
+@catalog.add("b8_owner_profile_cap", "SELECT segment, owner FROM (SELECT c_mktsegment AS segment, c_nationkey AS owner, max(c_acctbal) AS b FROM customer GROUP BY ALL) QUALIFY dense_rank() OVER (PARTITION BY segment ORDER BY b DESC, owner) <= 30")
 def b8(spark, sf):
     df = T(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("owner")).agg(F.max("c_acctbal").alias("b"))
     w = Window.partitionBy("segment").orderBy(F.desc("b"), "owner")
-    return df.withColumn("nth", F.dense_rank().over(w)).filter("nth <= 10").select("segment", "owner")
+    return df.withColumn("nth", F.dense_rank().over(w)).filter("nth <= 30").select("segment", "owner")
 
 
 @catalog.add("b11_cache_validity", f"WITH {B.FORKS_SQL} SELECT fork_id, pushed_at = created_at AND (owner % 2 = 0 OR releases > 1) AS valid FROM forks")

@@ -75,6 +75,28 @@ COMMITS_SQL = """commits AS (
          make_timestamp((978307200 + doc_id * 3607) * 1000000) AS "at" FROM documents)"""
 
 
+# an order is a commit of its customer's fork: its priority is the form of the message, its status and price the hands in it
+FORMS = {"1-URGENT": "Add urgent handling of orders", "2-HIGH": "feat: rank high orders", "3-MEDIUM": "Merge branch main", "5-LOW": "Revert the low order"}
+
+
+def fork_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """fork_id, doc_id, message, text, author, at: the commits of the forks that ``forks`` returns."""
+    message = F.lit("wip")
+    for priority, text in FORMS.items():
+        message = F.when(F.col("o_orderpriority") == priority, text).otherwise(message)
+    guest = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)
+    rows = table(spark, sf, "orders").withColumn("message", message)
+    return rows.select(
+        F.col("o_custkey").alias("fork_id"), F.col("o_orderkey").alias("doc_id"), "message", F.when(F.col("o_totalprice") > 495_000, F.concat("message", F.lit("\nCo-authored-by: guest"))).otherwise(F.col("message")).alias("text"),
+        F.when(guest, "guest").otherwise("owner").alias("author"), F.col("o_orderdate").cast("timestamp").alias("at"),
+    )
+
+
+FORK_COMMITS_SQL = f"""fork_commits AS (SELECT *, CASE WHEN o_totalprice > 495000 THEN line || chr(10) || 'Co-authored-by: guest' ELSE line END AS text FROM (
+  SELECT o_custkey AS fork_id, o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'guest' ELSE 'owner' END AS author, o_orderdate AS "at", o_totalprice,
+    CASE o_orderpriority {" ".join(f"WHEN '{p}' THEN '{t}'" for p, t in FORMS.items())} ELSE 'wip' END AS line FROM orders))"""
+
+
 def fork_days(spark: SparkSession, sf: str) -> DataFrame:
     """fork_id, day, stars, sub_forks: running counts of a user's events by day."""
     from pyspark.sql import Window
