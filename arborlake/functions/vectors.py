@@ -59,3 +59,13 @@ def unpack_floats(blob: bytes) -> list[float]:
     if len(blob) % 4:
         raise ValueError("a vector blob is a whole number of float32")
     return list(struct.unpack(f"<{len(blob) // 4}f", blob))
+
+
+#: Primary languages with a place of their own; all others share the last.
+LANGUAGES = ["Go", "Python", "JavaScript", "TypeScript", "Java", "Rust", "C++", "C#", "Ruby", "PHP", "Shell", "Kotlin", "Swift", "Solidity"]
+
+
+def language_one_hot(language: Column) -> Column:
+    """A place for each of ``LANGUAGES`` and one for any other."""
+    other = F.coalesce(language.isin(LANGUAGES), F.lit(False))
+    return F.concat(one_hot(language, LANGUAGES), F.array(F.when(other, F.lit(0.0)).otherwise(F.lit(1.0))))

@@ -71,3 +71,29 @@ def thread_filter(mode: str, resolved: Column, outdated: Column) -> Column:
 def linear_history(parents: Column, limit: int = 100) -> Column:
     """Struct (linear, truncated) of a vector of parent counts."""
     return F.struct((~F.exists(parents, lambda x: x > 1)).alias("linear"), (F.size(parents) >= limit).alias("truncated"))
+
+
+#: Fixed value: the longest file list that one comparison returns.
+COMPARE_FILES_CAP = 300
+
+
+def files_truncated(marked: Column, listed: Column) -> Column:
+    """Whether a list of changed files may lack some."""
+    return marked | (listed >= COMPARE_FILES_CAP)
+
+
+def distinct_reasons(ahead: Column, files: Column, added: Column, authors: Column, detected: Column, archetype: Column, strength: Column, stars: Column, pushed: Column, most: int = 5) -> Column:
+    """Why a fork stands out, the first ``most`` that hold, in a fixed order.
+
+    Null counts are those of a fork that was not compared; ``pushed`` is a text.
+    """
+    said = [
+        F.when(ahead > 0, F.format_string("+%d commits ahead of upstream", ahead)),
+        F.when(files > 0, F.format_string("%d files changed", files)),
+        F.when(added > 100, F.format_string("+%d lines added", added)),
+        F.when(authors == 1, "Single contributor").when(authors > 1, F.format_string("%d contributors", authors)),
+        F.when(detected, F.format_string("%s: strength %.0f%%", archetype, strength * 100)),
+        F.when(stars > 0, F.format_string("%d stars", stars)),
+        F.concat(F.lit("Last pushed "), pushed),
+    ]
+    return F.slice(F.array_compact(F.array(*said)), 1, most)

@@ -316,9 +316,15 @@ def e2(spark, sf):
     return T(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(vectors.norm(F.slice("v", 1, 64)), 4).alias("share"), F.size("v").cast("long").alias("size"))
 
 
-@catalog.add("x23_one_hot", "SELECT doc_id, [CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END, CASE WHEN lang = 'de' THEN 1.0 ELSE 0 END]::VARCHAR AS v FROM documents WHERE false UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN '1,0' WHEN 'de' THEN '0,1' ELSE '0,0' END FROM documents")
+# a document's language stands for the primary language of a fork; Haskell is in no bucket
+SPOKEN = {"en": "Go", "de": "Python", "fr": "Solidity", "es": "Haskell"}
+SPOKEN_SQL = f"CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SPOKEN.items())} END"
+
+
+@catalog.add("x23_one_hot", f"SELECT doc_id, array_to_string(list_concat(list_transform({vectors.LANGUAGES}, lambda x: CASE WHEN x = spoken THEN 1 ELSE 0 END), [CASE WHEN coalesce(list_contains({vectors.LANGUAGES}, spoken), false) THEN 0 ELSE 1 END]), ',') AS v FROM (SELECT doc_id, {SPOKEN_SQL} AS spoken FROM documents)")
 def x23(spark, sf):
-    return T(spark, sf, "documents").select("doc_id", F.array_join(F.transform(vectors.one_hot(F.col("lang"), ["en", "de"]), lambda x: x.cast("int").cast("string")), ",").alias("v"))
+    spoken = F.create_map(*(F.lit(x) for pair in SPOKEN.items() for x in pair))[F.col("lang")]
+    return T(spark, sf, "documents").select("doc_id", F.array_join(F.transform(vectors.language_one_hot(spoken), lambda x: x.cast("int").cast("string")), ",").alias("v"))
 
 
 EPSILON = 0.62

@@ -368,6 +368,25 @@ def h14(spark, sf):
     return df.select("fork_id", tier.alias("tier"), r6(F.col("t1") + F.coalesce("t2", F.lit(0.0)) + F.coalesce("t3", F.lit(0.0))).alias("score"))
 
 
+D9_SQL = f"""{WOLF_SQL}, r AS (SELECT fork_id, list_filter([
+  CASE WHEN n_commits > 0 THEN '+' || n_commits || ' commits ahead of upstream' END, CASE WHEN f.n_files > 0 THEN f.n_files || ' files changed' END, CASE WHEN f.a > 100 THEN '+' || f.a || ' lines added' END,
+  CASE WHEN authors = 1 THEN 'Single contributor' WHEN authors > 1 THEN authors || ' contributors' END, CASE WHEN detected THEN archetype || ': strength ' || printf('%.0f', strength * 100) || '%' END,
+  CASE WHEN t.stars > 0 THEN t.stars || ' stars' END, 'Last pushed ' || strftime(t.pushed_at, '%Y-%m-%d')], lambda x: x IS NOT NULL)[1:5] AS reasons
+  FROM tier1 t LEFT JOIN cfacts USING (fork_id) LEFT JOIN facts f USING (fork_id) LEFT JOIN (SELECT fork_id, detected, archetype, strength FROM wolves) USING (fork_id))"""
+
+
+@catalog.add("d9_distinctness_reasons", f"WITH {D9_SQL} SELECT fork_id, array_to_string(reasons, '; ') AS reasons FROM r")
+def d9(spark, sf):
+    """Reasons from a fork's commits, files, detector and listing."""
+    commits = behaviour.commit_facts(B.fork_commits(spark, sf)).select("fork_id", "n_commits", "authors")
+    files = behaviour.file_facts(B.files(spark, sf)).select("fork_id", "n_files", "additions")
+    wolf = wolves(spark, sf).select("fork_id", "detected", "archetype", "strength")
+    df = tier1(spark, sf).join(commits, "fork_id", "left").join(files, "fork_id", "left").join(wolf, "fork_id", "left")
+    columns = (F.col(c) for c in ("n_commits", "n_files", "additions", "authors", "detected", "archetype", "strength", "stars"))
+    reasons = decisions.distinct_reasons(*columns, F.date_format("pushed_at", "yyyy-MM-dd"))
+    return df.select("fork_id", F.array_join(reasons, "; ").alias("reasons"))
+
+
 # momentum -----------------------------------------------------------------------------------
 
 TODAY = "2024-01-30"

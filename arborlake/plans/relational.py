@@ -319,10 +319,10 @@ def b11(spark, sf):
     return B.forks(spark, sf).select("fork_id", ((F.col("pushed_at") == F.col("created_at")) & ((F.col("owner") % 2 == 0) | (F.col("releases") > 1))).alias("valid"))
 
 
-@catalog.add("f6_truncated_file_list", f"WITH {B.FILES_SQL} SELECT fork_id, fork_id % 29 = 0 OR (count(*) >= 40 AND fork_id % 2 = 0) AS truncated FROM files GROUP BY fork_id")
+@catalog.add("f6_truncated_file_list", f"WITH {B.FILES_SQL} SELECT fork_id, fork_id % 29 = 0 OR count(*) >= 300 AS truncated FROM files GROUP BY fork_id")
 def f6(spark, sf):
     f = B.files(spark, sf).groupBy("fork_id").agg(F.count("*").alias("n"))
-    return f.select("fork_id", ((F.col("fork_id") % 29 == 0) | ((F.col("n") >= 40) & (F.col("fork_id") % 2 == 0))).alias("truncated"))
+    return f.select("fork_id", decisions.files_truncated(F.col("fork_id") % 29 == 0, F.col("n")).alias("truncated"))
 
 
 @catalog.add("f25_compare_baseline", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_matches(source, '^src[0-9]+$') THEN source ELSE 'upstream' END AS base FROM documents")
@@ -569,13 +569,6 @@ def d8(spark, sf):
     return T(spark, sf, "documents").join(T(spark, sf, "labels"), "doc_id", "left").select("doc_id", (F.col("toxic") == 1).alias("gone"))
 
 
-@catalog.add("d9_distinctness_reasons", f"WITH {B.FORKS_SQL} SELECT fork_id, array_to_string(list_filter([CASE WHEN releases > 2 THEN 'ahead' END, CASE WHEN sub_forks > 3 THEN 'files' END, CASE WHEN stars > 10 THEN 'stars' END, CASE WHEN owner > 12 THEN 'owner' END, CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN fork_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)[1:5], ',') AS reasons FROM forks")
-def d9(spark, sf):
-    tests = {"ahead": F.col("releases") > 2, "files": F.col("sub_forks") > 3, "stars": F.col("stars") > 10, "owner": F.col("owner") > 12, "debt": F.col("c_acctbal") < 0, "even": F.col("fork_id") % 2 == 0}
-    reasons = F.slice(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests.items()))), 1, 5)
-    return B.forks(spark, sf).select("fork_id", F.array_join(reasons, ",").alias("reasons"))
-
-
 @catalog.add("d10_linearity", f"WITH {B.FORKS_SQL} SELECT fork_id, CASE WHEN fork_id % 6 = 0 THEN NULL WHEN releases = 0 THEN true WHEN stars % 3 = 0 THEN false ELSE true END AS linear FROM forks")
 def d10(spark, sf):
     linear = F.when(F.col("fork_id") % 6 == 0, F.lit(None)).when(F.col("releases") == 0, True).when(F.col("stars") % 3 == 0, False).otherwise(True)
