@@ -7,7 +7,8 @@ limits, has the largest dot product with what the sequence has left; when none
 fits the sequence is closed.  Examples with equal vectors are interchangeable,
 so the choice is among distinct vectors.
 
-Plain documents may be cut (``cut=True``): whole sequences come off the front
+A sequence that its segments or loss fill first is padded, as is any of whole
+examples.  Plain documents may be cut (``cut=True``): whole sequences come off the front
 of long ones, a gap that no example fits is filled with the front of one, and
 what is left at the end of a partition goes to sequences whose lengths are
 powers of two, which need no padding.  Conversations are not cut.
@@ -245,6 +246,38 @@ def pack_items(items: DataFrame, limits: Limits, window_items: int = 1 << 17) ->
     return items.select("item_id", "tokens", "loss_tokens").mapInArrow(_pack_items(limits, window_items), "item_id long, tokens long, loss_tokens long, sequence_id long, segment int, offset long")
 
 
+def _turn_tokens(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from arborlake.llm.tokenization import encoder
+
+        encode = encoder(path).encode
+        for batch in slices(batches, "text"):
+            n = pa.array([len(encode(t.as_py())) // 4 + 1 for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["item_id", "bears_loss", "tokens"])
+
+    return run
+
+
+def conversation_items(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """item_id, tokens, loss_tokens of each conversation of ``turns`` (conv_id, role, text).
+
+    A turn has the ids of its text (null: none) and an end id; those of the
+    assistant bear loss.  Turns without conv_id are one conversation.
+    """
+    rows = turns.select(F.col("conv_id").cast("long").alias("item_id"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears_loss"), "text")
+    counted = rows.mapInArrow(_turn_tokens(tokenizer), "item_id long, bears_loss boolean, tokens long")
+    loss = F.when(F.col("bears_loss"), F.col("tokens")).otherwise(0)
+    return counted.groupBy("item_id").agg(F.sum("tokens").alias("tokens"), F.sum(loss).alias("loss_tokens"))
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences of 1024 tokens, 16 segments and 640 tokens with loss; longer ones have none."""
+    import public_tokenizers
+
+    items = conversation_items(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_items(items, Limits(1024, 16, 640))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_packing": packing.op8_packing,
+    "conversation_packing": packing.conversation_packing,
     "op9_permutation_index": permutation_index.op9_permutation_index,
     "op10_language": language.op10_language,
 }

@@ -203,6 +203,28 @@ def test_vector_limits_hold_at_once(spark):
     assert len(seqs) <= 1.35 * max(sum(i[1] for i in items) / 1024, 125, sum(i[2] for i in items) / 400)
 
 
+def test_conversations_are_packed_whole(spark, plain_tokenizer):
+    out = packing.conversation_packing(spark, SF).collect()
+    want = {}
+    for r in common.table(spark, SF, "conversations").collect():
+        n = len(plain_tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        t, loss = want.get(r["conv_id"], (0, 0))
+        want[r["conv_id"]] = t + n, loss + n * (r["role"] == "assistant")
+    assert {r["item_id"]: (r["tokens"], r["loss_tokens"]) for r in out} == want and len(out) == len(want)
+    assert all((r["sequence_id"] is None) == (r["tokens"] > 1024 or r["loss_tokens"] > 640) for r in out)
+    seqs = {}
+    for r in out:
+        if r["sequence_id"] is not None:
+            seqs.setdefault(r["sequence_id"], []).append(r)
+    for s in seqs.values():
+        assert sum(r["tokens"] for r in s) <= 1024 and sum(r["loss_tokens"] for r in s) <= 640 and len(s) <= 16
+        assert [r["offset"] for r in sorted(s, key=lambda r: r["segment"])] == [sum(x["tokens"] for x in sorted(s, key=lambda r: r["segment"])[:i]) for i in range(len(s))]
+    packed = [r for s in seqs.values() for r in s]
+    assert len(seqs) <= 1.3 * max(sum(r["tokens"] for r in packed) / 1024, len(packed) / 16, sum(r["loss_tokens"] for r in packed) / 640) + 1
+    odd = spark.createDataFrame([(None, "assistant", None), (None, None, "x"), (5, "user", "")], "conv_id long, role string, text string")
+    assert sorted(map(tuple, packing.conversation_items(odd, BPE).collect()), key=str) == [(5, 1, 0), (None, 3, 1)]
+
+
 def test_substring_dedup_cases(spark):
     line = "one two three four five six seven eight nine"
     rows = [(1, f"{line}\nown words of the first text stay here now."), (2, f"start {line}. And this is another sentence of more than eight words."), (3, f"{line.upper()}\nkept"), (4, None), (5, ""), (None, line), (6, "short line\nshort line"), (7, "x\n" + line), (7, "x\n" + line)]
