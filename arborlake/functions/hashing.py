@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,3 +43,11 @@ def repair_utf8(data: bytes | None) -> str | None:
 def repaired(data: pd.Series) -> pd.Series:
     codecs.register_error("one_byte", _one_byte)
     return data.map(repair_utf8)
+
+
+def fnv1a_32(text: Column) -> Column:
+    """FNV-1a of 32 bits as a long; products stay below 2^57, so no Python is needed."""
+    data = F.encode(text, "UTF-8")
+    at = F.filter(F.sequence(F.lit(0), F.octet_length(text)), lambda i: i > 0)
+    octets = F.transform(at, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    return F.aggregate(octets, F.lit(2_166_136_261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16_777_619)).bitwiseAND(F.lit(0xFFFFFFFF)))

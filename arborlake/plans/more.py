@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from arborlake.functions import hashing, numeric, paths, text, vectors
 from arborlake.operators import behaviour, ranking, store
-from arborlake.plans import heat, rank
+from arborlake.operators import signals as SG
+from arborlake.plans import content, heat, rank
 from arborlake.plans.core import Catalog, r6, sql_decay
 from arborlake.plans.relational import BRANCH_SQL, branches
 from arborlake.sources import bindings as B
@@ -187,13 +188,27 @@ def e3(spark, sf):
     return B.files(spark, sf).groupBy("fork_id").agg(F.md5(F.array_join(seen, "\n")).alias("h"), F.size(seen).cast("long").alias("n"))
 
 
-@catalog.add("e6_weak_signals")
+# the owner stands for the primary language of a fork, segment and customer for its name
+LANG_SQL = f"list_extract({[*vectors.LANGUAGES, 'Haskell']}, owner % 15 + 1)"
+FNV_SQL = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+E6_SQL = f"""{B.FILES_SQL}, seen AS (SELECT fork_id, lower(path) AS p, additions, deletions, regexp_extract(lower(path), '([.][^./]*)$', 1) AS ext FROM files),
+kinds AS (SELECT fork_id, CASE WHEN bool_or(regexp_matches(p, '{SG.SECURITY}')) THEN 'security' WHEN bool_or(regexp_matches(p, '{SG.MIGRATION}')) THEN 'migration' WHEN bool_or(regexp_matches(p, '{SG.PLUGIN}')) THEN 'plugin'
+  WHEN bool_and(regexp_matches(p, '{SG.TESTS}')) THEN 'test' WHEN bool_and(regexp_matches(p, '{SG.DOCS}')) THEN 'docs' WHEN bool_and(regexp_matches(p, '{SG.CONFIG}')) THEN 'config'
+  WHEN count(*) >= 5 AND abs(sum(additions) - sum(deletions)) < 0.1::DOUBLE * (sum(additions) + sum(deletions)) THEN 'refactor' ELSE 'general' END AS kind, list(CASE WHEN list_contains({SG.EXTENSIONS}, ext) THEN ext ELSE 'other' END) AS exts FROM seen GROUP BY fork_id),
+named AS (SELECT c_custkey AS fork_id, c_nationkey AS owner, list_transform(list_filter(regexp_split_to_array(lower(c_mktsegment || '-' || c_name), '[-_/ .]'), lambda w: w <> ''), lambda w: {FNV_SQL} % 16) AS slots FROM customer),
+counted AS (SELECT *, list_transform(range(16), lambda i: len(list_filter(slots, lambda s: s = i))::DOUBLE) AS counts FROM named),
+v AS (SELECT fork_id, list_concat(list_transform({SG.ARCHETYPES}, lambda x: CASE WHEN x = coalesce(kind, 'general') THEN 0.2::DOUBLE ELSE 0 END), list_transform({[*vectors.LANGUAGES, 'Haskell']}, lambda x: CASE WHEN x = {LANG_SQL} THEN 0.1::DOUBLE ELSE 0 END),
+  list_transform({[*SG.EXTENSIONS, 'other']}, lambda e: coalesce(len(list_filter(exts, lambda y: y = e)) / len(exts)::DOUBLE * 0.15::DOUBLE, 0)), list_transform(counts, lambda c: c / sqrt(list_sum(list_transform(counts, lambda k: k * k))) * 0.05::DOUBLE), [least(greatest(coalesce(impact, 0), 0), 1) * 0.5::DOUBLE]) AS v
+  FROM counted LEFT JOIN kinds USING (fork_id) LEFT JOIN ({content.catalog.oracles["g6_touched_directories"]}) USING (fork_id))"""
+
+
+@catalog.add("e6_weak_signals", f"WITH {E6_SQL} SELECT fork_id, array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT), ',') AS signals FROM v")
 def e6(spark, sf):
-    """Language, extension and name hash side by side, each weighed."""
-    name = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(F.pmod(F.col("h"), F.lit(16)) == i, F.lit(1.0)).otherwise(F.lit(0.0)))
-    d = tab(spark, sf, "documents").withColumn("h", hashing.fnv_signed("source"))
-    blocks = [(vectors.one_hot(F.col("lang"), ["en", "de", "fr", "es"]), 0.1, 4), (name, 0.05, 16)]
-    return d.select("doc_id", vectors.concat_blocks(blocks).alias("signals"))
+    """All five blocks of each fork, in millionths."""
+    forks = tab(spark, sf, "customer").select(F.col("c_custkey").alias("fork_id"), F.element_at(F.array(*map(F.lit, [*vectors.LANGUAGES, "Haskell"])), F.col("c_nationkey") % 15 + 1).alias("language"), F.concat_ws("-", "c_mktsegment", "c_name").alias("name"))
+    df = forks.join(SG.file_signals(B.files(spark, sf)), "fork_id", "left").join(content.g6(spark, sf), "fork_id", "left")
+    v = SG.weak_signals(*(F.col(c) for c in ("archetype", "language", "extensions", "name", "impact")))
+    return df.select("fork_id", F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("signals"))
 
 
 @catalog.add("e10_cluster_label")

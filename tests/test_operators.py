@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from arborlake.graph.clustering import cluster, pair_values
 from arborlake.graph.components import connected_components
 from arborlake.graph.pagerank import pagerank
-from arborlake.operators import branches, decisions, ranking, scoring, store
+from arborlake.functions.hashing import fnv1a_32
+from arborlake.operators import branches, decisions, ranking, scoring, signals, store
 from arborlake.operators.evaluation import pair_auc
 from arborlake.operators.order import running
 from arborlake.operators.skew import join_counted
@@ -204,3 +205,26 @@ def test_patch_validation():
 def test_suggestions():
     body = "hi\r\n```suggestion\r\na\r\nb\r\n```\n~~~~ Suggestion\nx\n~~~\n~~~~\n```go\nno\n```\n```suggestion\nopen"
     assert diffs.suggestions(body) == ["a\nb", "x\n~~~", "open"]
+
+
+def test_signals_of_a_fork(spark):
+    rows = [(1, "auth/x.go", 5, 1), (1, "b.go", 5, 1), (2, "Docs/a.md", 9, 9), (2, "README", 1, 1), (3, "tests/a.py", 1, 0), (4, "src/Makefile", 1, 0), (4, "x.YAML", 1, 0), *((5, f"s{i}.rs", 10, 10) for i in range(5)), (6, "db/migrate/1.sql", 1, 0), (7, "s.rs", 10, 10)]
+    df = spark.createDataFrame(rows, "fork_id long, path string, additions long, deletions long")
+    got = {r["fork_id"]: r for r in signals.file_signals(df).collect()}
+    assert {i: r["archetype"] for i, r in got.items()} == {1: "security", 2: "docs", 3: "test", 4: "config", 5: "refactor", 6: "migration", 7: "general"}
+    assert got[1]["extensions"][0] == 1 and sum(got[2]["extensions"]) == 1 and got[2]["extensions"][-1] == 0.5 and len(got[1]["extensions"]) == 25
+    names = spark.createDataFrame([("My-repo.go",), ("",), (None,), ("a_a",)], "name string")
+    slots = [r[0] for r in names.select(signals.name_slots(F.col("name"))).collect()]
+    assert sum(slots[1]) == sum(slots[2]) == 0 and max(slots[3]) == 1 and sum(x * x for x in slots[0]) == pytest.approx(1)
+    words = spark.createDataFrame([("",), ("a",), ("foobar",), ("ü",)], "w string").select(fnv1a_32(F.col("w"))).collect()
+    assert [w[0] for w in words[:3]] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    v = names.select(signals.weak_signals(F.lit(None).cast("string"), F.lit("Go"), F.lit(None).cast("array<double>"), F.col("name"), F.lit(7.0))).first()[0]
+    assert len(v) == 8 + 15 + 25 + 16 + 1 and v[0] == 0.2 and v[8] == 0.1 and v[-1] == 0.5
+
+
+def test_reasons_of_distinctness(spark):
+    row = "select {} as a, {} as f, {} as l, {} as u, {} as d, 'Sniper' as k, 0.456D as s, {} as t"
+    said = lambda *x: spark.sql(row.format(*x)).select(decisions.distinct_reasons(*(F.col(c) for c in "afludkst"), F.lit("2024-01-02"))).first()[0]
+    assert said(3, 2, 101, 1, "true", 9) == ["+3 commits ahead of upstream", "2 files changed", "+101 lines added", "Single contributor", "Sniper: strength 46%"]
+    assert said(0, 0, 100, 4, "false", 0) == ["4 contributors", "Last pushed 2024-01-02"]
+    assert said("null", "null", "null", "null", "null", 2) == ["2 stars", "Last pushed 2024-01-02"]
