@@ -227,4 +227,4 @@ def test_reasons_of_distinctness(spark):
     said = lambda *x: spark.sql(row.format(*x)).select(decisions.distinct_reasons(*(F.col(c) for c in "afludkst"), F.lit("2024-01-02"))).first()[0]
     assert said(3, 2, 101, 1, "true", 9) == ["+3 commits ahead of upstream", "2 files changed", "+101 lines added", "Single contributor", "Sniper: strength 46%"]
     assert said(0, 0, 100, 4, "false", 0) == ["4 contributors", "Last pushed 2024-01-02"]
-    assert said("null", "null", "null", "null", "null", 2) == ["2 stars", "Last pushed 2024-01-02"]
+    assert said("null", "null", "null", "null", "cast(null as boolean)", 2) == ["2 stars", "Last pushed 2024-01-02"]
