@@ -179,7 +179,18 @@ def a13(spark, sf):
     return t.join(df, "token").withColumn("idf", idf).groupBy("item_id").agg(r6(F.avg("idf")).alias("mean_idf"), r6(F.median("idf")).alias("median_idf"))
 
 
-@catalog.add("e1_lexical_embedder")
+def sql_fnv64(word: str) -> str:
+    """FNV-1a of 64 bits as a signed number, byte by byte in 128-bit arithmetic."""
+    octets = f"list_transform(range(strlen({word})), lambda i: ('0x' || substr(hex(encode({word})), (2 * i + 1)::INT, 2))::INT::HUGEINT)"
+    h = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {octets}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+    return f"(({h} + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT"
+
+
+E1_SQL = f"""{LEX_SQL}, c AS (SELECT item_id, token, count(*) AS c FROM tk GROUP BY ALL), df AS (SELECT token, count(*) AS df, {sql_fnv64("token")} AS h FROM c GROUP BY token),
+cells AS (SELECT item_id, (h & 511)::INT AS place, sum((1 + ln(c::DOUBLE)) * (1 + ln((1.0::DOUBLE + (SELECT count(*) FROM benchmark)) / (1.0::DOUBLE + df))) * CASE WHEN h < 0 THEN -1 ELSE 1 END) AS x FROM c JOIN df USING (token) GROUP BY ALL)"""
+
+
+@catalog.add("e1_lexical_embedder", f"WITH {E1_SQL} SELECT item_id, place, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 0), 6) + 0.0::DOUBLE AS weight FROM cells")
 def e1(spark, sf):
     """Signed feature hashing of tf-idf weights into 512 places, unit length (item, place, weight)."""
     t = lexical(spark, sf).groupBy("item_id", "token").agg(F.count("*").alias("c"))
@@ -189,7 +200,7 @@ def e1(spark, sf):
     w = (1 + F.log(F.col("c").cast("double"))) * (1 + F.log((1.0 + F.col("n")) / (1.0 + F.col("df")))) * F.when(F.col("h") < 0, -1).otherwise(1)
     cells = t.join(hashed, "token").groupBy("item_id", F.col("h").bitwiseAND(F.lit(511)).cast("int").alias("place")).agg(F.sum(w).alias("x"))
     size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id")))
-    return cells.select("item_id", "place", (F.col("x") / F.nullif(size, lit(0))).cast("float").alias("weight"))
+    return cells.select("item_id", "place", r6(F.col("x") / F.nullif(size, lit(0))).alias("weight"))
 
 
 @catalog.add("x10_message_tokens", f"WITH {TOKENS_SQL} SELECT t, c FROM toks")
@@ -493,7 +504,7 @@ def m4(spark, sf):
     return T(spark, sf, "supplier").select("s_suppkey", r6(normal_cdf(F.col("s_acctbal") / 2500)).alias("p"))
 
 
-@catalog.add("m12_fnv1a")
+@catalog.add("m12_fnv1a", f"SELECT n_name, {sql_fnv64('n_name')} AS h FROM nation")
 def m12(spark, sf):
     return T(spark, sf, "nation").select("n_name", hashing.fnv_signed("n_name").alias("h"))
 
