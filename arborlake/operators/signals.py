@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,15 @@ def file_signals(files: DataFrame, by: str = "fork_id") -> DataFrame:
     order; then tests, docs or settings only; then five files or more with about
     as much removed as added.
     """
-    path, ext = F.lower("path"), extension(F.lower("path"))
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, EXTENSIONS)), ext), F.lit(0))
-    df = files.groupBy(by).agg(
+    path = F.lower("path")
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, EXTENSIONS)), extension(path)), F.lit(0))
+    rows = files.select(by, "additions", "deletions", path.alias("path"), place.alias("place"))
+    path = F.col("path")
+    df = rows.groupBy(by).agg(
         *(F.bool_or(path.rlike(p)).alias(n) for n, p in (("security", SECURITY), ("migration", MIGRATION), ("plugin", PLUGIN))),
         *(F.bool_and(path.rlike(p)).alias(n) for n, p in (("test", TESTS), ("docs", DOCS), ("config", CONFIG))),
         F.count("*").alias("n"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"),
-        *(F.count_if(place == i % (len(EXTENSIONS) + 1)).alias(f"e{i}") for i in range(1, len(EXTENSIONS) + 2)),
+        *(F.count_if(F.col("place") == i % (len(EXTENSIONS) + 1)).alias(f"e{i}") for i in range(1, len(EXTENSIONS) + 2)),
     )
     even = (F.col("n") >= 5) & (F.abs(F.col("a") - F.col("d")) < 0.1 * (F.col("a") + F.col("d")))
     kind = F.when(F.lit(False), "general")
@@ -60,13 +64,19 @@ def file_signals(files: DataFrame, by: str = "fork_id") -> DataFrame:
     return df.select(by, kind.when(even, "refactor").otherwise("general").alias("archetype"), shares.alias("extensions"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def name_slots(name: Column) -> Column:
     """How often the words of a name hash to each slot, at unit length; zeros for no word."""
     words = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[-_/ .]"), lambda w: w != "")
-    slots = F.transform(words, lambda w: fnv1a_32(w) % NAME_SLOTS)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(NAME_SLOTS - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, c: t + c * c))
-    return F.transform(counts, lambda c: F.coalesce(F.try_divide(c, length), F.lit(0.0)))
+    places = F.transform(words, lambda w: fnv1a_32(w) % NAME_SLOTS)
+    count = lambda at: F.transform(F.sequence(F.lit(0), F.lit(NAME_SLOTS - 1)), lambda i: F.size(F.filter(at, lambda s: s == i)).cast("double"))
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, c: t + c * c))
+    unit = lambda counts: _let(length(counts), lambda n: F.transform(counts, lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))))
+    return _let(places, lambda at: _let(count(at), unit))
 
 
 def weak_signals(archetype: Column, language: Column, extensions: Column, name: Column, impact: Column) -> Column:
