@@ -80,6 +80,13 @@ def normalize_pattern(pattern: str) -> str:
     return p
 
 
+def normalized_pattern(pattern: Column) -> Column:
+    """``normalize_pattern`` of a column; null for a pattern that is not relative to the top."""
+    bare = F.trim(pattern)
+    p = F.regexp_replace(F.regexp_replace(bare, r"^(\./)+", ""), "/+$", "")
+    return F.when((p != "") & ~bare.startswith("/") & ~F.array_contains(F.split(p, "/"), ".."), p)
+
+
 def glob_regex(pattern: str) -> str | None:
     """Java regular expression of a glob; None for a literal path."""
     if not re.search(r"[*?\[]", pattern):

@@ -399,12 +399,6 @@ def e15(spark, sf):
     return store.pending(d, e, "doc_id", "digest").select("doc_id")
 
 
-@catalog.add("e14_cluster_cache", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 4 = 1 AND ts > TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR")
-def e14(spark, sf):
-    fresh = F.col("ts") > F.expr("timestamp '2024-01-31' - interval 24 hours")
-    return T(spark, sf, "events").filter((F.col("event_type") == "view") & (F.col("user_id") % 4 == 1) & fresh).select("event_id")
-
-
 # graphs -------------------------------------------------------------------------------------
 
 
@@ -509,7 +503,7 @@ def m12(spark, sf):
     return T(spark, sf, "nation").select("n_name", hashing.fnv_signed("n_name").alias("h"))
 
 
-@catalog.add("x1_utf8_repair")
+@catalog.add("x1_utf8_repair", "SELECT doc_id, left(text, k) || repeat(chr(65533), (least(41, strlen(text)) - strlen(left(text, k)))::INT) AS head FROM (SELECT doc_id, text, list_max(list_filter(range(42), lambda k: strlen(left(text, k::INT)) <= 41))::INT AS k FROM documents)")
 def x1(spark, sf):
     cut = F.substring(F.encode("text", "UTF-8"), 1, 41)
     return T(spark, sf, "documents").select("doc_id", hashing.repaired(cut).alias("head"))
@@ -526,14 +520,14 @@ def k2(spark, sf):
     return B.forks(spark, sf).select(F.format_string("%d,%s,%.2f,%.3f", "fork_id", F.coalesce("segment", F.lit("")), "c_acctbal", F.col("stars") / 100.0).alias("line"))
 
 
-@catalog.add("k1_ndjson_records")
+@catalog.add("k1_ndjson_records", f"""WITH {B.FORKS_SQL} SELECT '{{"fork_id":' || fork_id || coalesce(',"segment":"' || segment || '"', '') || ',"stars":' || stars || CASE WHEN releases > 0 THEN ',"releases":' || releases ELSE '' END || ',"pushed_at":"' || strftime(pushed_at, '%Y-%m-%dT%H:%M:%S.%g') || '"}}' AS record FROM forks""")
 def k1(spark, sf):
     """One JSON record for each fork; keys without a value are left out."""
     f = B.forks(spark, sf).withColumn("releases", F.nullif("releases", F.lit(0)))
     return f.select(F.to_json(F.struct("fork_id", "segment", "stars", "releases", "pushed_at")).alias("record"))
 
 
-@catalog.add("w11_greedy_batches")
+@catalog.add("w11_greedy_batches", "WITH i AS (SELECT source, list([{'doc_id': doc_id, 'n': n_chars, 'batch': 0, 'count': 1, 'size': n_chars}] ORDER BY doc_id) AS items FROM documents GROUP BY source), b AS (SELECT source, unnest(list_reduce(items, lambda acc, x: list_append(acc, {'doc_id': x[1].doc_id, 'n': x[1].n, 'batch': acc[-1].batch + CASE WHEN acc[-1].count >= 32 OR acc[-1].size + x[1].n > 20000 THEN 1 ELSE 0 END, 'count': CASE WHEN acc[-1].count >= 32 OR acc[-1].size + x[1].n > 20000 THEN 1 ELSE acc[-1].count + 1 END, 'size': CASE WHEN acc[-1].count >= 32 OR acc[-1].size + x[1].n > 20000 THEN x[1].n ELSE acc[-1].size + x[1].n END}))) AS r FROM i) SELECT source, r.doc_id AS doc_id, r.batch::INT AS batch FROM b")
 def w11(spark, sf):
     """Documents of a source in batches of at most 32 rows and 20,000 characters, in order."""
     item = F.struct("doc_id", "n_chars")

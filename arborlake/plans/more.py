@@ -182,12 +182,6 @@ def n7(spark, sf):
     return ranking.tie_bands(rank.o6(spark, sf).join(rank.pool(spark, sf), ["segment", "idx"]), heat.NET).select("segment", "idx", "place", "tied")
 
 
-@catalog.add("e3_fork_features", f"WITH {B.FILES_SQL} SELECT fork_id, md5(string_agg(DISTINCT path, chr(10) ORDER BY path)) AS h, count(DISTINCT path) AS n FROM files GROUP BY fork_id")
-def e3(spark, sf):
-    seen = F.array_sort(F.collect_set("path"))
-    return B.files(spark, sf).groupBy("fork_id").agg(F.md5(F.array_join(seen, "\n")).alias("h"), F.size(seen).cast("long").alias("n"))
-
-
 # the owner stands for the primary language of a fork, segment and customer for its name
 LANG_SQL = f"list_extract({[*vectors.LANGUAGES, 'Haskell']}, owner % 15 + 1)"
 FNV_SQL = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
@@ -211,21 +205,6 @@ def e6(spark, sf):
     return df.select("fork_id", F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("signals"))
 
 
-@catalog.add("e10_cluster_label")
-def e10(spark, sf):
-    """Directory that most files share and the three words that set a fork apart."""
-    f = B.files(spark, sf).withColumn("top", F.substring_index("path", "/", 1))
-    per = f.groupBy("fork_id", "top").agg(F.count("*").alias("n"))
-    best = store.latest(per, ["fork_id"], [F.desc("n"), F.col("top")]).select("fork_id", F.col("top").alias("directory"))
-    words = f.select("fork_id", F.explode(text.path_tokens(F.col("path"))).alias("t")).groupBy("fork_id", "t").agg(F.count("*").alias("tf"))
-    df = words.groupBy("t").agg(F.count("*").alias("df"))
-    n = words.agg(F.count_distinct("fork_id").alias("n"))
-    scored = words.join(df, "t").crossJoin(F.broadcast(n)).withColumn("s", r6(F.col("tf") * F.log((1.0 + F.col("n")) / (1.0 + F.col("df")))))  # one row
-    top = scored.withColumn("nth", F.row_number().over(Window.partitionBy("fork_id").orderBy(F.desc("s"), "t"))).filter("nth <= 3")
-    label = top.groupBy("fork_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "t"))), lambda x: x["t"]), " ").alias("words"))
-    return best.join(label, "fork_id", "left")
-
-
 @catalog.add("e11_zero_shot", "WITH s AS (SELECT e.vec_id, a.vec_id AS anchor, round(list_inner_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS s FROM embeddings e, embeddings a WHERE a.vec_id < 9) SELECT vec_id, CASE WHEN max(s) >= 0.25 THEN arg_max(anchor, s) END AS category FROM s GROUP BY vec_id")
 def e11(spark, sf):
     e = tab(spark, sf, "embeddings")
@@ -242,18 +221,6 @@ def e12(spark, sf):
     return df.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(vectors.dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
 
 
-@catalog.add("e17_empty_result", "SELECT 'm' || (label % 3) AS model, CASE WHEN label % 3 = 2 THEN 'indexed' WHEN count(*) > 150 THEN 'other model' ELSE 'too few' END AS reason, count(*) AS n FROM embeddings GROUP BY label % 3")
-def e17(spark, sf):
-    e = tab(spark, sf, "embeddings").groupBy((F.col("label") % 3).alias("m")).agg(F.count("*").alias("n"))
-    return e.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), F.when(F.col("m") == 2, "indexed").when(F.col("n") > 150, "other model").otherwise("too few").alias("reason"), "n")
-
-
-@catalog.add("e13_skip_codes", "SELECT c_mktsegment AS segment, CASE WHEN count(*) FILTER (c_acctbal > 9900) = 0 THEN 'no_eligible' WHEN count(*) FILTER (c_acctbal > 9900) < 10 THEN 'insufficient' ELSE 'ok' END AS status FROM customer GROUP BY ALL")
-def e13(spark, sf):
-    n = F.count_if(F.col("c_acctbal") > 9900)
-    return tab(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.when(n == 0, "no_eligible").when(n < 10, "insufficient").otherwise("ok").alias("status"))
-
-
 @catalog.add("g10_merge_base", "WITH w AS (SELECT o_custkey AS fork_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) SELECT fork_id, coalesce(min(nth) FILTER (o_orderkey % 4 = 0) - 1, count(*)) AS ahead, min(nth) FILTER (o_orderkey % 4 = 0) IS NULL AS lower_bound FROM w GROUP BY fork_id")
 def g10(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
@@ -262,17 +229,6 @@ def g10(spark, sf):
     return walk.groupBy(F.col("o_custkey").alias("fork_id")).agg(F.coalesce(first - 1, F.count("*")).alias("ahead"), first.isNull().alias("lower_bound"))
 
 
-@catalog.add("d3_patch_fill", f"SELECT p_partkey, CASE WHEN p_size % 5 + p_size % 3 = 0 THEN 'empty' WHEN p_partkey % 4 = 0 THEN 'count_mismatch' ELSE 'accepted' END AS outcome FROM part")
-def d3(spark, sf):
-    """A patch is taken only if its lines count what was listed."""
-    a, d = (F.col("p_size") % 5).cast("int"), (F.col("p_size") % 3).cast("int")
-    patch = F.concat(F.repeat(F.lit("+x\n"), a), F.repeat(F.lit("-y\n"), d))
-    lines = F.split(patch, "\n")
-    plus, minus = F.size(F.filter(lines, lambda x: x.startswith("+"))), F.size(F.filter(lines, lambda x: x.startswith("-")))
-    listed = a + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0)
-    return tab(spark, sf, "part").select("p_partkey", F.when(a + d == 0, "empty").when((plus != listed) | (minus != d), "count_mismatch").otherwise("accepted").alias("outcome"))
-
-
 @catalog.add("d4_ordered_branch_scan", f"WITH {BRANCH_SQL} SELECT fork_id, arg_min(name, o) AS name FROM (SELECT fork_id, name, row_number() OVER (PARTITION BY fork_id ORDER BY CASE WHEN is_default THEN 0 WHEN NOT upstreamed THEN 1 ELSE 2 END, tip_at DESC NULLS LAST, name) AS o FROM branches WHERE ahead > 0) GROUP BY fork_id")
 def d4(spark, sf):
     lane = F.when(F.col("is_default"), 0).when(~F.col("upstreamed"), 1).otherwise(2)
@@ -292,16 +248,6 @@ def d11(spark, sf):
     return h.select("fork_id", merges.alias("merges"), (merges == 0).alias("linear"))
 
 
-@catalog.add("d12_sweep_needed", f"WITH {B.FORKS_SQL} SELECT fork_id FROM forks WHERE releases = 0 OR (sub_forks > 5 AND stars < 10)")
-def d12(spark, sf):
-    return B.forks(spark, sf).filter("releases = 0 or (sub_forks > 5 and stars < 10)").select("fork_id")
-
-
-@catalog.add("d22_centrality_method", f"WITH {B.FORKS_SQL} SELECT fork_id, CASE WHEN releases > 3 THEN 'mdg' WHEN releases > 0 THEN 'directory' ELSE 'none' END AS method FROM forks")
-def d22(spark, sf):
-    return B.forks(spark, sf).select("fork_id", F.when(F.col("releases") > 3, "mdg").when(F.col("releases") > 0, "directory").otherwise("none").alias("method"))
-
-
 # budgets: B1 to B3 are reconstructions from what is written about them ---------------------
 
 
@@ -333,11 +279,6 @@ def b6(spark, sf):
     return B.forks(spark, sf).select("fork_id", F.when(spent > 0.9 * 500, "reserve").alias("skip_reason"))
 
 
-@catalog.add("b10_cached_refresh", f"WITH {B.FORKS_SQL} SELECT fork_id, CASE WHEN releases % 3 = 0 THEN 'invalidate' WHEN sub_forks > 4 THEN 'refresh_behind' ELSE 'accept' END AS verdict FROM forks")
-def b10(spark, sf):
-    return B.forks(spark, sf).select("fork_id", F.when(F.col("releases") % 3 == 0, "invalidate").when(F.col("sub_forks") > 4, "refresh_behind").otherwise("accept").alias("verdict"))
-
-
 @catalog.add("b12_last_touch_gate", f"WITH {B.FILES_SQL}, l AS (SELECT path, count(*) AS since FROM files WHERE shipped > TIMESTAMP '1999-01-01' GROUP BY path), f AS (SELECT DISTINCT fork_id, path FROM files WHERE flag = 'R') SELECT fork_id, bool_and(fork_id % 9 <= coalesce(since, 0)) AS skip FROM f LEFT JOIN l USING (path) GROUP BY fork_id")
 def b12(spark, sf):
     f = B.files(spark, sf)
@@ -407,12 +348,10 @@ def k13(spark, sf):
     return one.union(two)
 
 
-@catalog.add("o12_search_order", "SELECT vec_id FROM embeddings ORDER BY label DESC, vec_id LIMIT 25")
-def o12(spark, sf):
-    return tab(spark, sf, "embeddings").orderBy(F.desc("label"), "vec_id").limit(25).select("vec_id")
+O14_SQL = f"{content.LEX_SQL}, c AS (SELECT item_id, token, count(*) AS n FROM tk GROUP BY ALL)"
 
 
-@catalog.add("o14_distinct_word_labels")
+@catalog.add("o14_distinct_word_labels", f"WITH {O14_SQL} SELECT item_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list([token] ORDER BY n DESC, token)), lambda acc, x: CASE WHEN len(acc) < 3 AND NOT list_has_any(string_split(array_to_string(acc, ' '), ' '), string_split(x[1], ' ')) THEN list_concat(acc, x) ELSE acc END), ', ') AS label FROM c GROUP BY item_id")
 def o14(spark, sf):
     """Of ranked phrases the first three that share no word with one taken before."""
     ranked = tab(spark, sf, "benchmark").select("item_id", F.explode(text.lexical_tokens(F.col("text"))).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
@@ -431,13 +370,6 @@ def s21(spark, sf):
     return tab(spark, sf, "pages").select("page_id", text.remote_url(F.regexp_replace("url", r"[?#].*$", "")).alias("remote"))
 
 
-@catalog.add("s24_topic_idf", "SELECT lang AS topic, round(greatest(1, least(8, coalesce(CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 2.5 END, 1.0))), 6)::DOUBLE AS idf, count(*) AS n FROM documents GROUP BY lang")
-def s24(spark, sf):
-    corpus = F.broadcast(spark.createDataFrame([("en", 1.0), ("de", 2.5)], "lang string, idf double"))
-    idf = F.greatest(F.lit(1.0), F.least(F.lit(8.0), F.coalesce("idf", F.lit(1.0))))
-    return tab(spark, sf, "documents").join(corpus, "lang", "left").groupBy(F.col("lang").alias("topic"), r6(idf).alias("idf")).agg(F.count("*").alias("n"))
-
-
 @catalog.add("t1_emit_order", f"WITH {B.FORKS_SQL} SELECT fork_id, row_number() OVER (PARTITION BY segment ORDER BY pushed_at, fork_id) AS emitted FROM forks")
 def t1(spark, sf):
     return B.forks(spark, sf).select("fork_id", F.row_number().over(Window.partitionBy("segment").orderBy("pushed_at", "fork_id")).cast("long").alias("emitted"))

@@ -541,24 +541,6 @@ def a32a(spark, sf):
 # data shaping -------------------------------------------------------------------------------
 
 
-@catalog.add("d1_compare_totals", f"WITH {B.FILES_SQL} SELECT fork_id, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, CASE WHEN count(*) < 40 THEN max(path) END AS head FROM files GROUP BY fork_id")
-def d1(spark, sf):
-    return B.files(spark, sf).groupBy("fork_id").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.when(F.count("*") < 40, F.max("path")).alias("head"))
-
-
-@catalog.add("d2_backfill_files", "WITH full_list AS (SELECT l_orderkey AS k, l_linenumber AS p, l_comment FROM (SELECT *, 'full' AS l_comment FROM lineitem)), listed AS (SELECT l_orderkey AS k, l_linenumber AS p, 'patch' || l_linenumber AS patch FROM lineitem WHERE l_linenumber <= 2) SELECT f.k, f.p, coalesce(l.patch, f.l_comment) AS patch FROM full_list f LEFT JOIN listed l USING (k, p)")
-def d2(spark, sf):
-    full = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("p"))
-    listed = full.filter("p <= 2").withColumn("patch", F.concat(F.lit("patch"), F.col("p").cast("string")))
-    return full.join(listed, ["k", "p"], "left").select("k", "p", F.coalesce("patch", F.lit("full")).alias("patch"))
-
-
-@catalog.add("d5_two_sided_compare", "SELECT (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')) AS ahead, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AS behind")
-def d5(spark, sf):
-    side = T(spark, sf, "lineitem").filter("l_returnflag in ('A', 'R')").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.bool_or(F.col("l_returnflag") == "A").alias("a"))
-    return side.agg(F.count_if(F.col("r") & ~F.col("a")).alias("ahead"), F.count_if(F.col("a") & ~F.col("r")).alias("behind"))
-
-
 @catalog.add("d7_path_last_touch", f"WITH {B.FILES_SQL} SELECT path, max(shipped) AS last_touch, count(*) FILTER (shipped > TIMESTAMP '1998-01-01') AS later FROM files GROUP BY path")
 def d7(spark, sf):
     return B.files(spark, sf).groupBy("path").agg(F.max("shipped").alias("last_touch"), F.count_if(F.col("shipped") > F.lit("1998-01-01").cast("timestamp")).alias("later"))
@@ -569,12 +551,6 @@ def d8(spark, sf):
     return T(spark, sf, "documents").join(T(spark, sf, "labels"), "doc_id", "left").select("doc_id", (F.col("toxic") == 1).alias("gone"))
 
 
-@catalog.add("d10_linearity", f"WITH {B.FORKS_SQL} SELECT fork_id, CASE WHEN fork_id % 6 = 0 THEN NULL WHEN releases = 0 THEN true WHEN stars % 3 = 0 THEN false ELSE true END AS linear FROM forks")
-def d10(spark, sf):
-    linear = F.when(F.col("fork_id") % 6 == 0, F.lit(None)).when(F.col("releases") == 0, True).when(F.col("stars") % 3 == 0, False).otherwise(True)
-    return B.forks(spark, sf).select("fork_id", linear.cast("boolean").alias("linear"))
-
-
 @catalog.add("d14_cluster_peers", "SELECT vec_id, peer, nth FROM (SELECT a.vec_id, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) AS nth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE nth <= 5")
 def d14(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id", "label")

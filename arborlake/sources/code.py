@@ -7,6 +7,9 @@ import json
 import re
 import sys
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The names of score weights.
 WEIGHT_NAMES = ("recency", "stars", "sub_forks", "releases", "mna", "sync_ratio", "feature_ratio", "lone_wolf", "span", "novelty", "topic_tag", "sibling_sim", "fork_farmer")
 
@@ -59,3 +62,21 @@ def read_lanes(text: str, known: tuple[str, ...]) -> list[str]:
     if not lanes or any(x not in known for x in lanes):
         raise ValueError(f"lanes are some of {', '.join(known)}")
     return lanes
+
+
+def weights(text: Column) -> Column:
+    """Map of the weights in a JSON text; null where ``read_weights`` would refuse it."""
+    data = F.from_json(text, "map<string,double>", {"mode": "PERMISSIVE"})
+    good = F.forall(F.map_entries(data), lambda e: e["key"].isin(*WEIGHT_NAMES) & e["value"].between(0, 2))
+    return F.when(good, data)
+
+
+def lanes(text: Column, known: tuple[str, ...]) -> Column:
+    """The lanes of a comma list, each once, in order; null where ``read_lanes`` would refuse it."""
+    found = F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    return F.when((F.size(found) > 0) & F.forall(found, lambda x: x.isin(*known)), found)
+
+
+def topic_idf(text: Column) -> Column:
+    """Map of topic to weight of a JSON object; empty, so without any penalty, where it cannot be read."""
+    return F.coalesce(F.from_json(text, "map<string,double>"), F.create_map().cast("map<string,double>"))
