@@ -27,13 +27,16 @@ def phrases(text: Column) -> Column:
     """Words of four characters at least that say something, and pairs of neighbours among them, line by line."""
     marks = "[" + "".join("\\" + c if c in ".?()[]" else c for c in EDGE_MARKS) + "]"
 
-    def of_line(line: Column) -> Column:
+    def words(line: Column) -> Column:
         bare = F.transform(F.split(line, r"\s+"), lambda w: F.lower(F.regexp_replace(w, f"^{marks}+|{marks}+$", "")))
-        kept = F.filter(bare, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
-        rest = F.greatest(F.size(kept) - 1, F.lit(0))
-        return F.concat(kept, F.zip_with(F.slice(kept, F.lit(1), rest), F.when(rest > 0, F.slice(kept, F.lit(2), rest)).otherwise(F.array().cast("array<string>")), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.filter(bare, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
 
-    return F.flatten(F.transform(F.split(text, "\n"), of_line))
+    def pairs(kept: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        both = F.transform(places, lambda i: F.concat(F.get(kept, i - 1), F.lit(" "), F.get(kept, i)))
+        return F.concat(kept, F.filter(both, lambda x: x.isNotNull()))
+
+    return F.flatten(F.transform(F.transform(F.split(text, "\n"), words), pairs))
 
 
 def path_parts(path: Column) -> Column:
@@ -61,13 +64,13 @@ def main_directory(paths: DataFrame) -> DataFrame:
 def set_apart(tokens: DataFrame, members: DataFrame, cut: Callable[[DataFrame], DataFrame], n: int = 3, overlapping: bool = False) -> DataFrame:
     """(cluster, words): the ``n`` tokens of most tf-idf against all forks that are no members.
 
-    ``tokens`` has cluster, fork_id and token, a row for each use; ``members``
-    has cluster and fork_id.  A token that shares a word with one taken before
+    ``tokens`` has cluster, fork_id, token and uses, any number of rows for a
+    token of a fork; ``members`` has cluster and fork_id.  A token that shares a word with one taken before
     is passed over unless ``overlapping``.  Each of the ``n`` steps is a minimum
     by cluster, so no list of a cluster's tokens is made; ``cut`` writes the
-    weighed tokens, which every step reads.
+    weighed tokens, which every step reads, and the words taken, one row a cluster.
     """
-    used = tokens.groupBy("cluster", "token").agg(F.count("*").alias("c"), F.count_distinct("fork_id").alias("inside"))
+    used = tokens.groupBy("cluster", "token", "fork_id").agg(F.sum("uses").alias("c")).groupBy("cluster", "token").agg(F.sum("c").alias("c"), F.count("*").alias("inside"))
     spread = used.groupBy("token").agg(F.sum("inside").alias("df"))
     total = used.groupBy("cluster").agg(F.sum("c").alias("total"))
     forks = members.agg(F.count_distinct("fork_id").alias("forks"))
@@ -80,7 +83,7 @@ def set_apart(tokens: DataFrame, members: DataFrame, cut: Callable[[DataFrame],
         shared = F.arrays_overlap(F.split("token", " "), F.flatten(F.transform("words", lambda w: F.split(w, " "))))
         clash = F.array_contains("words", F.col("token")) if overlapping else shared
         best = left.join(taken, "cluster").filter(~clash).groupBy("cluster").agg(F.min("place")["token"].alias("next"))
-        taken = taken.join(best, "cluster", "left").select("cluster", F.when(F.col("next").isNull(), F.col("words")).otherwise(F.array_append("words", F.col("next"))).alias("words"))
+        taken = cut(taken.join(best, "cluster", "left").select("cluster", F.when(F.col("next").isNull(), F.col("words")).otherwise(F.array_append("words", F.col("next"))).alias("words")))
     return taken
 
 
@@ -91,10 +94,12 @@ def cluster_labels(members: DataFrame, paths: DataFrame, commits: DataFrame, cut
     (fork_id, message).  Where the commits of a cluster have no words, the
     parts of its paths stand in, without those of its directory.
     """
-    located = members.join(paths.select("fork_id", "path").distinct(), "fork_id")
-    directory = main_directory(located)
-    said = members.join(commits, "fork_id").select("cluster", "fork_id", F.explode(phrases(F.col("message"))).alias("token"))
-    parts = located.join(directory, "cluster", "left").select("cluster", "fork_id", "directory", F.explode(path_parts(F.col("path"))).alias("token"))
+    members = cut(members)
+    located = cut(members.join(paths.select("fork_id", "path").distinct(), "fork_id"))
+    directory = cut(main_directory(located))
+    said = commits.groupBy("fork_id", "message").agg(F.count("*").alias("uses")).join(members, "fork_id")
+    said = said.select("cluster", "fork_id", "uses", F.explode(phrases(F.col("message"))).alias("token"))
+    parts = located.join(directory, "cluster", "left").select("cluster", "fork_id", "directory", F.lit(1).alias("uses"), F.explode(path_parts(F.col("path"))).alias("token"))
     words = set_apart(said, members, cut).join(directory, "cluster", "left")
     inside = F.split(F.lower(F.rtrim("directory", F.lit("/"))), "/")
     spare = set_apart(parts.filter(F.col("directory").isNull() | ~F.array_contains(inside, F.col("token"))), members, cut, overlapping=True).withColumnRenamed("words", "spare")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.numeric import cap_sum, clamp, decay, lit, log_norm_range, midpoint_percentile
+from arborlake.functions.numeric import cap_sum, clamp, decay, lit, log_norm_range
+from arborlake.operators.order import with_percentiles
 
 NO_WEIGHTS: dict[str, float] = {}
 
@@ -46,27 +47,20 @@ def tier_score(points: dict[str, Column], tier: int) -> Column:
     return cap_sum(list(points.values()), TIER_CAPS[tier - 1])
 
 
-def with_trust(df: DataFrame, by: list[str], score: str = "score", stars: str = "stars", sub_forks: str = "sub_forks", strength: str | None = None) -> DataFrame:
-    """Scale the score by the fork's standing in its set (H5); sets under ten are left alone (H7)."""
-    n = F.count("*").over(_window(by))
-    star_pct, fork_pct = midpoint_percentile(F.col(stars), by), midpoint_percentile(F.col(sub_forks), by)
-    trust = star_pct * 0.7 + fork_pct * 0.3
+def with_trust(df: DataFrame, by: list[str], score: str = "score", stars: str = "stars", sub_forks: str = "sub_forks", days: str = "days", strength: str | None = None) -> DataFrame:
+    """Scale the score by the fork's standing in its set (H5); sets under ten are left alone (H7).
+
+    Adds set_size, trust and recency_pct, which is 1 less the percentile of the
+    days since the last push, and 1 in sets under ten (W3).
+    """
+    df = with_percentiles(df, by, [stars, sub_forks, days])
+    tiny = F.col("set_size") < 10
     factor = 0.7 + 0.3 * F.col("trust")
     if strength:
         factor = factor * F.when(F.col(strength) > 0.6, 1.1 + 0.2 * F.col(strength)).otherwise(lit(1))
-    df = df.withColumn("set_size", n).withColumn("trust", F.when(F.col("set_size") < 10, F.lit(None)).otherwise(trust))
-    return df.withColumn(score, F.when(F.col("set_size") < 10, F.col(score)).otherwise(F.least(F.col(score) * factor, lit(100))))
-
-
-def _window(by: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
-
-
-def recency_percentile(days: Column, by: list[str]) -> Column:
-    """1 less the percentile of the days since the last push; 1 in sets under ten."""
-    return F.when(F.count("*").over(_window(by)) < 10, lit(1)).otherwise(1.0 - midpoint_percentile(days, by))
+    trust = F.col(f"{stars}_pct") * 0.7 + F.col(f"{sub_forks}_pct") * 0.3
+    df = df.withColumns({"trust": F.when(~tiny, trust), "recency_pct": F.when(tiny, lit(1)).otherwise(1.0 - F.col(f"{days}_pct"))})
+    return df.withColumn(score, F.when(tiny, F.col(score)).otherwise(F.least(F.col(score) * factor, lit(100))))
 
 
 def penalised(score: Column, ahead: Column, upstreamed: Column, archived: Column, recency_pct: Column, topic: Column, farmer: Column) -> Column:

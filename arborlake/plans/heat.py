@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import numeric as N
 from arborlake.operators import behaviour, decisions, scoring
+from arborlake.operators.order import positions, with_percentiles
 from arborlake.plans.core import Catalog, r6, sql_class, sql_days, sql_decay, sql_log_norm, sql_percentile
+from arborlake.session import checkpointed
 from arborlake.sources import bindings as B
 
 catalog = Catalog()
@@ -50,13 +52,13 @@ def h4(spark, sf):
 
 @catalog.add("w3_percentile_ranks", f"WITH {T1_SQL} SELECT fork_id, round({sql_percentile('stars', 'segment')}, 6) AS stars_pct, round({sql_percentile('sub_forks', 'segment')}, 6) AS forks_pct, round(1 - {sql_percentile('days', 'segment')}, 6) AS recency_pct FROM tier1")
 def w3(spark, sf):
-    df = tier1(spark, sf)
-    return df.select("fork_id", r6(N.midpoint_percentile(F.col("stars"), NET)).alias("stars_pct"), r6(N.midpoint_percentile(F.col("sub_forks"), NET)).alias("forks_pct"), r6(scoring.recency_percentile(F.col("days"), NET)).alias("recency_pct"))
+    df = trusted(spark, sf)
+    return df.select("fork_id", r6(F.col("stars_pct")).alias("stars_pct"), r6(F.col("sub_forks_pct")).alias("forks_pct"), r6(F.col("recency_pct")).alias("recency_pct"))
 
 
 @catalog.add("a14_midpoint_percentile", f"WITH {B.FORKS_SQL} SELECT fork_id, round({sql_percentile('releases', 'segment')}, 6) AS pct FROM forks")
 def a14(spark, sf):
-    return B.forks(spark, sf).select("fork_id", r6(N.midpoint_percentile(F.col("releases"), NET)).alias("pct"))
+    return with_percentiles(B.forks(spark, sf), NET, ["releases"]).select("fork_id", r6(F.col("releases_pct")).alias("pct"))
 
 
 def trusted(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +83,7 @@ def h7(spark, sf):
 
 def penalised(spark: SparkSession, sf: str) -> DataFrame:
     """Scores after penalties; ahead, upstreamed and archived are bound to the fork's numbers."""
-    df = trusted(spark, sf).withColumn("recency_pct", scoring.recency_percentile(F.col("days"), NET))
+    df = trusted(spark, sf)
     ahead = F.when(F.col("fork_id") % 11 == 0, F.lit(None)).otherwise(F.col("releases") % 9)
     farmer = scoring.farmer_penalty(F.lit(True), F.col("stars"), F.col("releases") % 3, F.col("sub_forks") / F.col("stars"))
     topic = scoring.topic_penalty((F.col("fork_id") % 10) / 10.0, F.col("stars"), (F.col("fork_id") % 4).cast("double"))
@@ -137,8 +139,7 @@ def h18(spark, sf):
 
 def ranked(df: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
     """position, total and percentile in the network, best score first, then key."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), key)
-    df = df.withColumns({"position": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy(*by))})
+    df = positions(df.withColumn("low", -F.col(score)), by, ["low", key], "position", checkpointed).drop("low")
     return df.withColumn("percentile", (F.col("total") - F.col("position") + 1) / F.col("total"))
 
 
@@ -161,8 +162,10 @@ def w2(spark, sf):
 @catalog.add("flagship_fork_ranking", f"WITH {PENALTY_SQL}, {RANK_SQL.format('penalised')} SELECT fork_id, segment, heat, position, {BAND_SQL} AS band, array_to_string(penalties, ',') AS penalties FROM ranked WHERE position <= 20")
 def flagship(spark, sf):
     """The twenty best forks of each network with their heat, band and penalties."""
-    df = ranked(penalised(spark, sf).withColumn("heat", r6(F.col("score"))), NET, "heat", "fork_id").filter("position <= 20")
-    return df.select("fork_id", "segment", "heat", F.col("position").cast("long"), decisions.rank_band(F.col("total"), F.col("percentile")).alias("band"), F.array_join("penalties", ",").alias("penalties"))
+    order = Window.partitionBy(*NET).orderBy(F.desc("heat"), "fork_id")  # limited in each partition before it moves
+    df = penalised(spark, sf).withColumn("heat", r6(F.col("score"))).withColumn("position", F.row_number().over(order)).filter("position <= 20")
+    percentile = (F.col("set_size") - F.col("position") + 1) / F.col("set_size")
+    return df.select("fork_id", "segment", "heat", F.col("position").cast("long"), decisions.rank_band(F.col("set_size"), percentile).alias("band"), F.array_join("penalties", ",").alias("penalties"))
 
 
 @catalog.add("f12_visibility", f"WITH {PENALTY_SQL} SELECT fork_id, CASE WHEN fork_id % 23 = 0 THEN 'pinned' WHEN len(penalties) = 0 THEN 'visible' WHEN list_has_any(penalties, ['no_ahead', 'upstreamed']) THEN 'hidden' ELSE 'demoted' END AS status, array_to_string(CASE WHEN fork_id % 23 = 0 THEN list_concat(['touching:src/**'], penalties) ELSE penalties END, ',') AS reasons FROM penalised")

@@ -10,7 +10,7 @@ from arborlake.graph.pagerank import pagerank
 from arborlake.functions.hashing import fnv1a_32
 from arborlake.operators import branches, decisions, ranking, scoring, signals, store
 from arborlake.operators.evaluation import pair_auc
-from arborlake.operators.order import running
+from arborlake.operators.order import positions, running, with_percentiles
 from arborlake.operators.skew import join_counted
 from arborlake.session import checkpointed
 from arborlake.sources import diffs
@@ -137,6 +137,23 @@ def test_running_sums_over_ranges(spark):
     assert running(df.filter("false"), ["k"], "v", "before", checkpointed).count() == 0
 
 
+def test_percentiles_from_counts(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", None), ("a", 5.0), (None, 2.0), (None, 3.0), ("b", -0.0), ("b", 0.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = sorted((r["g"] or "", r["x"] if r["x"] is not None else -1, r["x_pct"], r["set_size"]) for r in with_percentiles(df, ["g"], ["x"]).collect())
+    assert got == [("", 2.0, 0.25, 2), ("", 3.0, 0.75, 2), ("a", -1, 0.125, 4), ("a", 1.0, 0.5, 4), ("a", 1.0, 0.5, 4), ("a", 5.0, 0.875, 4), ("b", 0.0, 0.5, 2), ("b", 0.0, 0.5, 2)]
+    assert with_percentiles(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_positions_in_sets(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 50 == 0, "small").otherwise("hot").alias("g"), (F.col("id") * 7919 % 101).alias("x"))
+    got = {r["k"]: (r["at"], r["total"]) for r in positions(df, ["g"], ["x", "k"], "at", checkpointed).collect()}
+    for g in ("small", "hot"):
+        order = sorted(((i * 7919 % 101, i) for i in range(3000) if (i % 50 == 0) == (g == "small")))
+        assert [got[i] for _, i in order] == [(n + 1, len(order)) for n in range(len(order))]
+    assert positions(df.limit(0), ["g"], ["x", "k"], "at", checkpointed).count() == 0
+
+
 def test_pair_values_and_auc(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 5))
