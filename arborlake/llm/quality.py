@@ -189,14 +189,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, penalty: float = 1e
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 20_000) -> RuleModel:
-    """Fit on the ``rows`` labelled ids with the smallest hashes; docs has doc_id and text."""
+    """Fit on the ``rows`` labelled ids with the smallest hashes; docs has doc_id and text.
+
+    Of rows that share an id and a label one is used, that of the least statistics,
+    so at most ``rows`` go to the driver however often an id repeats.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     # at most ``rows`` ids and labels
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "y", "text")
-    got = sorted(with_statistics(texts).collect())
-    x = np.array([r[2:] for r in got], dtype=float).reshape(len(got), len(STATISTICS))
-    return fit_rules(x, np.array([r[1] for r in got], dtype=float))
+    one = with_statistics(texts).groupBy("doc_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("x"))
+    got = sorted(one.collect())
+    x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), len(STATISTICS))
+    return fit_rules(x, np.array([r["y"] for r in got], dtype=float))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:

@@ -558,6 +558,14 @@ def test_quality_without_both_labels_and_odd_texts(spark):
     assert quality.score_quality(d, quality.RuleModel(0.0)).first()["score"] == 0.5
 
 
+def test_repeated_ids_count_once_in_the_fit(spark):
+    texts = [(r["doc_id"], r["text"]) for r in common.table(spark, SF, "documents").collect()]
+    labels = common.table(spark, SF, "labels")
+    hot = labels.first()["doc_id"]
+    repeated = texts + [t for t in texts if t[0] == hot] * 300
+    assert quality.learn_quality(docs(spark, repeated), labels) == quality.learn_quality(docs(spark, texts), labels.union(labels))
+
+
 def test_lasso_leaves_out_what_says_nothing():
     rng = np.random.default_rng(9)
     x = rng.integers(0, 2, (800, 20)).astype(float)
