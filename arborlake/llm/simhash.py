@@ -107,7 +107,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands
     ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
     members = written(join_counted(single, ends, ["key"], single.count()), "members")
     reps = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(members.select("node").distinct(), "node")
-    texts = zipped(keyed).drop("doc_id").join(reps, "row_key").dropDuplicates(["node"]).select("node", "packed")
+    texts = zipped(keyed).drop("doc_id").join(reps, "row_key").dropDuplicates(["row_key", "node"]).select("node", "packed")  # where the join has put them
     sets = written(texts.mapInArrow(shingle_hashes(words, seed), "node long, size long, hashes array<long>"), "sets")
     of = lambda c, *more: sets.select(F.col("node").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
 
