@@ -1,15 +1,18 @@
 """Ranks under a Gaussian utility model, and empirical-Bayes shrinkage.
 
-Pools are bounded (200 of a network at most), so a network's pairs are too.
+Pools are bounded (200 of a network at most), so a network's pairs are too;
+sums over all members are taken without pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +89,67 @@ def _cdf_table(step: float, edge: float) -> tuple[np.ndarray, np.ndarray, np.nda
     return grid, cdf, np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
 
 
+def win_sums(rows: DataFrame, key: str, mu: str, sd: str, cut: Callable[[DataFrame], DataFrame], width: float = 0.5, block: int = 4096) -> DataFrame:
+    """key, won: the sum of p that a member beats each of another key (N1), without its pairs.
+
+    Equal strengths are counted once.  Opponents of one spread are gathered in
+    cells of ``width`` spreads, of which their number and the powers of their
+    distances from the middle are kept; a Taylor series of the normal
+    distribution about the middle gives a cell's sum to 1e-12 an opponent.  Work
+    grows with members times cells, and cells with the range of the scores.
+    Unknown scores are passed over; keys without an opponent have no row.
+    """
+    rows = rows.select(F.col(key).alias("key"), F.col(mu).cast("double").alias("mu"), F.col(sd).cast("double").alias("sd")).filter("key IS NOT NULL")
+    strengths = cut(rows.filter("mu IS NOT NULL AND sd IS NOT NULL").groupBy("mu", "sd").agg(F.count("*").alias("n")))
+    wide = width * F.abs("sd")
+    middle = F.when((wide > 0) & (F.abs("mu") < float("inf")) & (wide < float("inf")), (F.floor(F.col("mu") / wide) + 0.5) * wide).otherwise(F.col("mu"))
+    off = F.when(F.col("mu") == F.col("at"), lit(0)).otherwise(F.col("mu") - F.col("at"))
+    powers = [F.sum(F.col("n") * off**p if p else F.col("n").cast("double")) for p in range(_TERMS)]
+    cells = cut(strengths.withColumn("at", middle).groupBy("sd", "at").agg(F.array(*powers).alias("powers")))
+
+    def blocks(df: DataFrame, names: list[str], of: str) -> DataFrame:
+        deal = F.pmod(F.xxhash64(*names[:2]), F.lit(-(-df.count() // block) or 1))
+        return df.groupBy(deal.alias("deal")).agg(F.collect_list(F.struct(*names)).alias(of)).select(of)
+
+    met = blocks(strengths, ["mu", "sd"], "members").crossJoin(blocks(cells, ["at", "sd", "powers"], "cells"))
+    parts = met.repartition(met.sparkSession.sparkContext.defaultParallelism).mapInArrow(_cell_sums, "mu double, sd double, won double")
+    total = rows.join(parts.groupBy("mu", "sd").agg(F.sum("won").alias("won")), ["mu", "sd"], "left").groupBy("key").agg(F.sum("won").alias("won"))
+    twin = rows.select("key", F.col("mu").alias("mu_b"), F.col("sd").alias("sd_b"))
+    own = rows.join(twin, "key").groupBy("key").agg(F.sum(win_probability(F.col("mu"), F.col("mu_b"), F.col("sd"), F.col("sd_b"))).alias("own"))
+    several = rows.agg((F.min("key") < F.max("key")).alias("several")).filter("several")
+    return total.join(own, "key").crossJoin(F.broadcast(several)).select(F.col("key").alias(key), (F.col("won") - F.coalesce("own", lit(0))).alias("won"))
+
+
+#: powers of a cell, the number of its opponents first
+_TERMS = 13
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of members (mu, sd) and cells (at, sd, powers) to each member's sum over the cells."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            members, cells = (batch.column(i)[row].values for i in range(2))
+            mu, sd = (members.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            at, spread = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            powers = cells.field(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, _TERMS)
+            won, step = np.empty(len(mu)), max(1, (1 << 19) // max(1, len(at)))
+            for low in range(0, len(mu), step):
+                high = low + step
+                s = np.maximum(np.hypot(sd[low:high, None], spread), 1e-9)
+                with np.errstate(invalid="ignore"):  # equal infinities
+                    z = np.clip((mu[low:high, None] - at) / s, -38, 38)
+                known = np.nan_to_num(z)
+                part = np.where(np.isnan(z), np.nan, normal_cdf(known) * powers[:, 0])
+                # the p-th derivative is (-1) ** (p - 1) He_{p-1}(z) bell(z), an opponent's distance d gives (-d / s) ** p
+                scale, last, hermite = np.exp(-known * known / 2) / math.sqrt(2 * math.pi), np.zeros_like(z), np.ones_like(z)
+                for p in range(1, _TERMS):
+                    scale = scale / (p * s)
+                    part -= scale * hermite * powers[:, p]
+                    last, hermite = hermite, known * hermite - (p - 1) * last
+                won[low:high] = part.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(mu), pa.array(sd), pa.array(won)], ["mu", "sd", "won"])
+
+
 def rank_distribution(mu: np.ndarray, sd: np.ndarray, panels: int = 48) -> np.ndarray:
     """P(rank of i is r + 1) by integrating a Poisson-binomial over i's own value."""
     n = len(mu)

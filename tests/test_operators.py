@@ -245,3 +245,21 @@ def test_reasons_of_distinctness(spark):
     assert said(3, 2, 101, 1, "true", 9) == ["+3 commits ahead of upstream", "2 files changed", "+101 lines added", "Single contributor", "Sniper: strength 46%"]
     assert said(0, 0, 100, 4, "false", 0) == ["4 contributors", "Last pushed 2024-01-02"]
     assert said("null", "null", "null", "null", "cast(null as boolean)", 2) == ["2 stars", "Last pushed 2024-01-02"]
+
+
+def test_win_sums_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(m), float(s)) for k, m, s in zip(rng.integers(0, 900, 1000), rng.normal(0, 40, 1000), rng.integers(0, 6, 1000), strict=True)]
+    rows += [(2000, 1e7, 1.0), (2001, -1e7, 0.0), (2002, 5.0, 0.0), (2003, 5.0, 0.0), (2004, None, 2.0), (None, 3.0, 1.0)]
+    known = [r for r in rows if None not in r]
+    k, m, s = (np.array(x) for x in zip(*known, strict=True))
+    spread = np.hypot(s[:, None], s)
+    with np.errstate(all="ignore"):
+        z = np.where(spread < 1e-9, np.inf * np.sign(m[:, None] - m), (m[:, None] - m) / spread)
+    p = np.array([[0.5 if np.isnan(x) else 0.5 * math.erfc(-x / math.sqrt(2)) for x in row] for row in z])
+    each = np.where(k[:, None] != k, p, 0).sum(axis=1)
+    want = {int(i): float(each[k == i].sum()) for i in set(k)}
+    got = {r["k"]: r["won"] for r in ranking.win_sums(spark.createDataFrame(rows, "k long, m double, sd double"), "k", "m", "sd", checkpointed, block=64).collect()}
+    assert got.pop(2004) is None and got == pytest.approx(want, abs=1e-7)
+    alone = spark.createDataFrame([(1, 2.0, 1.0), (1, 3.0, 1.0)], "k long, m double, sd double")
+    assert ranking.win_sums(alone, "k", "m", "sd", checkpointed).count() == 0
