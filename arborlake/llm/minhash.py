@@ -1,4 +1,4 @@
-"""MinHash keys of shingle sets, and the sets as hashes, in Arrow batches."""
+"""MinHash keys and SimHash fingerprints of shingle sets, and the sets as hashes, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,18 +9,19 @@ import numpy as np
 import pyarrow as pa
 
 from arborlake.llm.common import slices, unzip, utf8
-from arborlake.llm.simhash_bits import shingles
+from arborlake.llm.simhash_bits import fingerprint_bits, shingles
 from arborlake.llm.words import MIX, mix
 
-SKETCH_DDL = "doc_id long, row_key long, node long, keys array<long>"
+SKETCH_DDL = "doc_id long, row_key long, node long, fp long, keys array<long>"
 
 
 def sketches(k: int, bands: int, rows: int, seed: int = 42):
     """A ``mapInArrow`` function: (doc_id, row_key, text) to ``SKETCH_DDL``.
 
-    ``node`` hashes the set of k-word shingles; each of the ``bands`` keys hashes the least of the set under ``rows`` orders.  Two
-    sets of similarity s share a key with probability 1 - (1 - s ** rows) **
-    bands.  A text without words has no keys.
+    ``node`` hashes the set of k-word shingles, ``fp`` is its SimHash; each of the
+    ``bands`` keys hashes the least of the set under ``rows`` orders.  Two sets of
+    similarity s share a key with probability 1 - (1 - s ** rows) ** bands.  A
+    text without words has node and fingerprint zero and no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,8 @@ def sketches(k: int, bands: int, rows: int, seed: int = 42):
                     keys[:, band] = key
             ends = np.concatenate([[0], np.cumsum((counts > 0) * bands)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), lists], ["doc_id", "row_key", "node", "keys"])
+            fp = fingerprint_bits(hashes, counts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(fp), lists], ["doc_id", "row_key", "node", "fp", "keys"])
 
     return run
 

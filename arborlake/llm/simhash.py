@@ -83,43 +83,69 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     return join_counted(rows, ids, ["fp"], total["rows"]).select("doc_id", "fp", "component_id")
 
 
-def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, order: int = 5, seed: int = 42, block: int = 256) -> DataFrame:
+def near_prints(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """Links (a, b), a < b, that join all nodes of (node, fp) whose fingerprints differ in at most ``bits`` bits.
+
+    The least node of a fingerprint stands for it: it meets the others of its
+    fingerprint, and those that stand for near ones.
+    """
+    least = materialize(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    near = near_pairs(least, bits, "first").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = join_counted(prints, least, ["fp"], prints.count()).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.union(same.filter("a < b"))
+
+
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, order: int = 5, seed: int = 42, block: int = 256, bits: int = 3) -> DataFrame:
     """doc_id, row_key, component of each row of ``docs``, linked by exact similarity.
 
-    SimHash at 3 bits finds few pairs of similarity 0.8 or 0.9, so candidates
-    come from MinHash: a pair that shares one of ``bands`` keys, which misses
-    0.035 % of pairs at 0.8.  Texts with equal sets of ``words``-word shingles are
-    folded; a candidate is linked when the Jaccard similarity of its sets,
-    counted in full on 64-bit hashes, is ``similarity`` or more.
+    Candidates are the texts whose SimHash fingerprints differ in at most ``bits``
+    bits.  That leaves out most pairs of similarity 0.8 or 0.9, which are at about
+    ten bits, so pairs that share one of ``bands`` MinHash keys are candidates
+    too; these miss 0.035 % at 0.8.  Texts with equal sets of ``words``-word
+    shingles are folded; a candidate is linked when the Jaccard similarity of its
+    sets, counted in full on 64-bit hashes, is ``similarity`` or more.
 
     In a bucket (the texts of a key) each text is compared with the first and the
-    last.  Where the others of a bucket are then still in several components,
-    and of equal buckets among these in one only, all pairs are compared that
-    can join components: texts outside the first one's component with those in
-    it and with one another.  They meet in tasks of two blocks of about ``block``
-    texts, which put out links that span what they join, so neither a task nor
-    its output grows with the bucket.  ``row_key`` hashes doc_id and text.
+    last; SimHash pairs are then compared unless that has joined them.  Where the
+    others of a bucket are then still in several components, and of equal buckets
+    among these in one only, all pairs are compared that can join components:
+    texts outside the first one's component with those in it and with one another.
+    They meet in tasks of two blocks of about ``block`` texts, which put out links
+    that span what they join, so neither a task nor its output grows with the
+    bucket.  ``row_key`` hashes doc_id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
     rows = written(keyed.mapInArrow(sketches(words, bands, order, seed), SKETCH_DDL), "sketches")
+    prints = written(rows.filter("node <> 0").select("node", "fp").distinct(), "prints")
+    near = written(near_prints(prints, bits), "near")
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
     single = written(nodes.select("node", F.explode("keys").alias("key")), "buckets")
     ends = single.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
     members = written(join_counted(single, ends, ["key"], single.count()), "members")
-    reps = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(members.select("node").distinct(), "node")
+    needed = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    reps = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(needed, "node")
     texts = zipped(keyed).drop("doc_id").join(reps, "row_key").dropDuplicates(["row_key", "node"]).select("node", "packed")  # where the join has put them
     sets = written(texts.mapInArrow(shingle_hashes(words, seed), "node long, size long, hashes array<long>"), "sets")
     of = lambda c, *more: sets.select(F.col("node").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
 
     ordered = [F.least("node", end).alias("a") for end in ("low", "high")], [F.greatest("node", end).alias("b") for end in ("low", "high")]
     to_low, to_high = (members.select(a, b).filter("a < b") for a, b in zip(*ordered, strict=True))
-    pairs = to_low.union(to_high).distinct().join(of("a", "size"), "a").join(of("b", "size"), "b")
-    pairs = pairs.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    alike = both >= similarity * (F.col("size_a") + F.col("size_b") - both)
-    links = materialize(pairs.join(of("b", "hashes"), "b").join(of("a", "hashes"), "a").filter(alike).select("a", "b"))
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(of("a", "size"), "a").join(of("b", "size"), "b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+        both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+        enough = both >= similarity * (F.col("size_a") + F.col("size_b") - both)
+        return materialize(pairs.join(of("b", "hashes"), "b").join(of("a", "hashes"), "a").filter(enough).select("a", "b"))
+
+    links = alike(to_low.union(to_high).distinct())
     parts = materialize(connected_components(links, "a", "b", materialize))
+    for end in ("a", "b"):
+        near = near.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
+    apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
+    more = alike(near.filter(apart).select("a", "b"))
+    if not more.isEmpty():
+        links = links.union(more)
+        parts = materialize(connected_components(links, "a", "b", materialize))
     of_low = parts.select(F.col("node").alias("low"), F.col("component").alias("first"))
     others = members.filter("node <> low and node <> high").join(parts, "node", "left").join(of_low, "low", "left")
     others = written(others.select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("first", "low").alias("first")), "others")

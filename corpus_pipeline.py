@@ -33,7 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep one row, that of the smallest id.
 
-    Five-word shingles, similarity 0.8.  Groups are of rows, so unrelated texts
+    Candidates by SimHash at 3 bits, and by MinHash where that falls short; all are
+    held against five-word shingles, similarity 0.8.  Groups are of rows, so unrelated texts
     that share an id, or have none, each stay.  A null id ranks last, rows of a
     group with equal ids rank by a hash of their text, and rows equal in both
     are one.  Null and empty texts are copies of one another, as are texts of

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+import xxhash
 
 from arborlake.llm import common
 from arborlake.llm.simhash import similar_documents, similar_rows
@@ -80,3 +81,24 @@ def test_rows_that_share_an_id_or_have_none_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
     assert got == sorted([(7, own[0]), (7, own[2]), (3, copy), (None, own[3]), (None, own[4]), (9, own[5])], key=str)
+
+
+def test_fingerprints_alone_link_what_they_find(spark):
+    rng, out = random.Random(21), {}
+    for i in range(40):
+        text = words(rng, 1000)
+        out[len(out)] = " ".join(text)
+        for at in rng.sample(range(0, 1000, 8), 1 + i % 20):
+            text[at] = "changed"
+        out[len(out)] = " ".join(text)
+    of = {i: slow_print(shingle_set(t)) for i, t in out.items()}
+    near = {(i, j) for i in of for j in of if i < j and (of[i] ^ of[j]).bit_count() <= 3}
+    found = {}
+    for r in similar_rows(spark.createDataFrame(list(out.items()), "doc_id long, text string"), bands=0).collect():
+        found.setdefault(r["component"], []).append(r["doc_id"])
+    assert {tuple(sorted(c)) for c in found.values() if len(c) > 1} == near and 5 < len(near) < 40
+
+
+def slow_print(units):
+    hashes = [xxhash.xxh64_intdigest(u, 42) for u in units]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
